@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal",)
+FAMILIES = ("temporal", "retrieval")
 
 
 def _collect(attribute: str) -> dict:
     out: dict = {}
     for family in FAMILIES:
         module = importlib.import_module(f"lexframe.plans.{family}")
-        for name, value in getattr(module, attribute).items():
+        for name, value in getattr(module.family, attribute).items():
             if name in out:
                 raise ValueError(f"query registered twice: {name}")
             out[name] = value
@@ -19,8 +19,8 @@ def _collect(attribute: str) -> dict:
 
 
 def all_queries() -> dict:
-    return _collect("QUERIES")
+    return _collect("queries")
 
 
 def all_oracles() -> dict:
-    return _collect("ORACLE")
+    return _collect("oracle")

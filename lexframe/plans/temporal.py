@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexframe.operators import temporal as T
+from lexframe.plans.base import Family
 from lexframe.plans.bindings import (
     EVENT_STATUS_SQL,
     daily_amendments,
@@ -12,18 +13,8 @@ from lexframe.plans.bindings import (
     table,
 )
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return register
+family = Family()
+query = family.query
 
 
 # ---- each order amends its customer's terms; each order line asks on its ship date
