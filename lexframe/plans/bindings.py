@@ -101,3 +101,127 @@ def regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "publish_date"
         ),
     )
+
+
+# ------------------------------------------------------------ notices: one text per order
+
+# A regulation-like text with the numbers of its order. `O` orders carry a bracket number,
+# `F` orders a new-style number, `P` orders none.
+NOTICE_LINES = (
+    "{number}关于{priority}订单管理办法",
+    "第一章 总则",
+    "第一条 根据《订单管理暂行条例》制定本办法。",
+    "第二条 适用于客户{cust}的增值税业务，详见附件{month}。",
+    "（一）销售额不超过{amount}元的，减按{rate}%征收；",
+    "1.按月申报；",
+    "2.按季申报。",
+    "第二章 附则",
+    "第三条 本办法执行期限为{year}年1月1日至{until}年12月31日。",
+    "一、其他事项",
+    "第四条 自{year}年{month}月{day}日起施行。《旧版{year}订单办法》同时废止。财税〔{before}〕{key}号同时废止。",
+)
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    year = F.year("o_orderdate")
+    values = {
+        "priority": F.col("o_orderpriority"),
+        "cust": F.col("o_custkey"),
+        "month": F.month("o_orderdate"),
+        "day": F.dayofmonth("o_orderdate"),
+        "year": year,
+        "until": year + 2,
+        "before": year - 1,
+        "amount": F.round("o_totalprice").cast("bigint"),
+        "rate": F.col("o_orderkey") % 20 + 1,
+        "key": F.col("o_orderkey"),
+        "number": F.when(
+            F.col("o_orderstatus") == "O",
+            F.concat(F.lit("财税["), year, F.lit("]"), F.col("o_orderkey"), F.lit("号\n")),
+        )
+        .when(
+            F.col("o_orderstatus") == "F",
+            F.concat(F.lit("财政部 税务总局公告"), year, F.lit("年第"), F.col("o_orderkey"), F.lit("号\n")),
+        )
+        .otherwise(""),
+    }
+    template = "\n".join(NOTICE_LINES)
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [F.lit(before), values[name].cast("string")]
+    parts.append(F.lit(rest))
+    return orders.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.concat(*parts).alias("text"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.lit("https://example.org/n")).alias(
+            "source_url"
+        ),
+    )
+
+
+NOTICE_SQL = """
+  SELECT o_orderkey AS doc_id, o_orderpriority AS priority, o_orderstatus AS status, o_custkey AS cust,
+    CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS VARCHAR) AS m,
+    CAST(day(o_orderdate) AS VARCHAR) AS d, CAST(o_orderdate AS DATE) AS o_date,
+    CAST(year(o_orderdate) AS INTEGER) AS yi, CAST(o_orderkey AS VARCHAR) AS k,
+    CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS amount,
+    CAST(o_orderkey % 20 + 1 AS VARCHAR) AS rate FROM orders
+"""
+
+
+# ------------------------------------------------------------ questions: one per order
+
+# Words of the derived questions, picked by columns of the row.
+QUESTION_SQL = """
+  SELECT o_orderkey AS question_id, c.c_mktsegment AS segment, o_orderpriority AS priority,
+    o_orderstatus AS status, o_orderkey AS k, o_custkey AS cust, c_nationkey AS nation,
+    CAST(floor(o_totalprice / 100) AS BIGINT) AS hundreds,
+    CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m
+  FROM orders JOIN customer c ON c.c_custkey = o_custkey
+"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question in words with the facts of the order and its customer."""
+    from lexframe.functions.common import lookup
+
+    orders = table(spark, sf_dir, "orders")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    taxpayer = lookup(
+        F.col("c_mktsegment"),
+        {
+            "MACHINERY": "我们是一般纳税人",
+            "BUILDING": "我开了一家小店",
+            "AUTOMOBILE": "我是小规模纳税人",
+            "HOUSEHOLD": "我们是小微企业",
+            "FURNITURE": "请问",
+        },
+    )
+    tax_word = lookup(F.col("o_orderstatus"), {"F": "不含税", "O": "含税", "P": ""})
+    hundreds = F.floor(F.col("o_totalprice") / 100).cast("bigint")
+    amount = F.when(
+        F.col("o_orderpriority") == "1-URGENT",
+        F.concat(tax_word, F.lit("销售额"), hundreds, F.lit("万元")),
+    ).when(
+        F.col("o_orderpriority") != "5-LOW",
+        F.concat(tax_word, F.lit("销售额"), hundreds, F.lit("元")),
+    )
+    period = F.concat(
+        F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月")
+    )
+    business = lookup(
+        F.col("c_nationkey") % 5,
+        {0: "销售货物", 1: "提供咨询服务", 2: "出租房屋", 3: "做货运", 4: "在市区经营"},
+    )
+    ask = lookup(
+        F.col("o_custkey") % 4,
+        {0: "增值税怎么算？", 1: "有什么优惠？", 2: "企业所得税怎么办理申报？", 3: "被查了怎么办？"},
+    )
+    return rows.select(
+        F.col("o_orderkey").alias("question_id"),
+        F.concat_ws("，", taxpayer, period, business, amount, ask).alias("text"),
+    )

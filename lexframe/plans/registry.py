@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "retrieval")
+FAMILIES = ("temporal", "retrieval", "text")
 
 
 def _collect(attribute: str) -> dict:
