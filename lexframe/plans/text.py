@@ -262,9 +262,9 @@ def glossary_expand(spark, sf_dir):
 
 @query(f"""
 WITH n AS (SELECT unnest(['tionement', 'tion', 'thand', 'the', 'ement', 'keit', 'ción', 'ment']) AS name),
-c AS (SELECT doc_id, name, (length(text) - length(replace(text, name, ''))) // length(name) AS k, instr(text, name) AS at
+c AS (SELECT doc_id, name, (length(text) - length(replace(text, name, ''))) // length(name) AS k, instr(text, name) AS pos
   FROM documents, n WHERE list_contains(regexp_extract_all(text, '{NAMES_RE}'), name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, at, name) AS rn FROM c WHERE k >= 2)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, pos, name) AS rn FROM c WHERE k >= 2)
 SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY rn), '') AS names FROM documents d
 LEFT JOIN r ON r.doc_id = d.doc_id AND rn <= 2 GROUP BY d.doc_id
 """)
@@ -281,9 +281,9 @@ b AS (SELECT doc_id, source, text,
   list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(title, '{NAMES_RE}')),
     lambda n: {{'at': instr(title, n), 'n': n}})), lambda p: p.n) AS titled FROM a),
 n AS (SELECT unnest(['tionement', 'tion', 'thand', 'the', 'ement', 'keit', 'ción', 'ment']) AS name),
-c AS (SELECT doc_id, name, (length(text) - length(replace(text, name, ''))) // length(name) AS k, instr(text, name) AS at
+c AS (SELECT doc_id, name, (length(text) - length(replace(text, name, ''))) // length(name) AS k, instr(text, name) AS pos
   FROM documents, n WHERE list_contains(regexp_extract_all(text, '{NAMES_RE}'), name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, at, name) AS rn FROM c WHERE k >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, pos, name) AS rn FROM c WHERE k >= 2),
 body AS (SELECT doc_id, string_agg(name, ',' ORDER BY rn) AS names FROM r WHERE rn <= 2 GROUP BY doc_id)
 SELECT b.doc_id, coalesce(CASE WHEN official IS NOT NULL THEN array_to_string(list_concat(official,
     list_filter(titled, lambda t: NOT list_contains(official, t))), ',')
