@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "retrieval", "text")
+FAMILIES = ("temporal", "retrieval", "text", "tax")
 
 
 def _collect(attribute: str) -> dict:
