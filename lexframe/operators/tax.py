@@ -169,7 +169,7 @@ def vat(df: DataFrame) -> DataFrame:
     due = (F.col("_output") - F.col("_input")).cast(M.MONEY)
     levied = M.times(F.col("_net"), F.col("_rate"))
     verdict = F.col("_verdict")
-    payable = F.when(general, F.greatest(due, zero())).when(
+    payable = F.when(general & due.isNotNull(), F.greatest(due, zero())).when(
         F.col("_method") == "simplified",
         F.when(verdict == "exempt", F.when(sales.isNotNull(), zero())).when(
             verdict == "taxable", levied
