@@ -16,7 +16,7 @@ from lexframe.rules import text as R
 
 def strip(text: Column) -> Column:
     """Strip Unicode white space, the full-width space included."""
-    return F.regexp_replace(text, rf"^{R.SPACE}+|{R.SPACE}+$", "")
+    return F.btrim(text, F.lit(R.SPACE_CHARS))
 
 
 def lines_of(text: Column) -> Column:

@@ -19,16 +19,6 @@ OPENS = "|".join(p.lstrip("^") for p in (R.ARTICLE, R.CN_ITEM))
 ANY = "|".join(
     p.lstrip("^") for p in (R.CHAPTER, R.SECTION, R.ARTICLE, R.PARAGRAPH, R.ITEM, R.CN_ITEM)
 )
-KINDS = (
-    ("chapter", R.CHAPTER),
-    ("section", R.SECTION),
-    ("article", R.ARTICLE),
-    ("paragraph", R.PARAGRAPH),
-    ("item", R.ITEM),
-    ("cn_item", R.CN_ITEM),
-)
-
-
 def parse_header(df: DataFrame, text: str = "text", source_url: str = "source_url") -> DataFrame:
     """Number, issuer, title, hierarchy and dates of each text; unknown stays null and is
     named in ``review_reasons``."""
@@ -71,9 +61,10 @@ def _segments(text: Column) -> Column:
 def whole_text_body(text: Column, number: Column, title: Column) -> Column:
     """The text without its number and title lines and without blank lines."""
     lines = F.transform(T.lines_of(text), T.strip)
-    header = lambda s, i: (i < 3) & (s.eqNullSafe(T.strip(number)) | (s == T.strip(title)))
-    kept = F.filter(lines, lambda s, i: (F.length(s) > 0) & ~header(s, i))
-    return F.array_join(kept, "\n")
+    top = F.array_remove(F.slice(lines, 1, 3), T.strip(text_of(number)))
+    top = F.array_remove(top, T.strip(text_of(title)))
+    rest = F.slice(lines, 4, F.greatest(F.size(lines), F.lit(1)))
+    return F.array_join(F.filter(F.concat(top, rest), lambda s: F.length(s) > 0), "\n")
 
 
 def split_blocks(
@@ -83,33 +74,38 @@ def split_blocks(
     without any structure but of useful length become one whole-text article."""
     body = whole_text_body(F.col(text), F.col("document_number"), F.col("title"))
     raw = parsed.select(
-        key, *carry, _segments(F.col(text)).alias("_segments"), body.alias("_body")
+        key, *carry, text, "document_number", "title", _segments(F.col(text)).alias("_segments")
     ).select(
         key,
         *carry,
         (F.size("_segments") == 0).alias("_whole"),
         F.when(F.size("_segments") > 0, F.col("_segments"))
-        .when(F.length("_body") >= R.MIN_WHOLE_TEXT_CHARS, F.array("_body"))
+        .when(F.length(body) >= R.MIN_WHOLE_TEXT_CHARS, F.array(body))
         .alias("_segments"),
     )
     rows = raw.select(
         key, *carry, "_whole", F.posexplode("_segments").alias("order_index", "_raw")
     )
-    kind = F.when(F.col("_whole"), F.lit("whole"))
-    number = None
-    for name, pattern in KINDS:
-        hit = F.col("_raw").rlike(pattern)
-        kind = kind.when(hit, F.lit(name))
-        token = F.regexp_extract("_raw", pattern, 0)
-        number = (F.when if number is None else number.when)(hit, token)
-    rows = rows.withColumn("_kind", kind).withColumn(
-        "article_no", F.when(F.col("_whole"), F.lit("")).otherwise(number)
+    rows = rows.withColumn(
+        "article_no",
+        F.when(F.col("_whole"), F.lit("")).otherwise(F.regexp_extract("_raw", f"^(?:{ANY})", 0)),
+    )
+    token = F.col("article_no")
+    kind = (
+        F.when(F.col("_whole"), F.lit("whole"))
+        .when(token.endswith("章"), F.lit("chapter"))
+        .when(token.endswith("节"), F.lit("section"))
+        .when(token.endswith("条"), F.lit("article"))
+        .when(token.startswith("（") | token.startswith("("), F.lit("paragraph"))
+        .when(F.substring(token, 1, 1).between("0", "9"), F.lit("item"))
+        .otherwise(F.lit("cn_item"))
     )
+    rows = rows.withColumn("_kind", kind)
     rows = rows.withColumn(
-        "_line", F.when(~F.col("_whole"), T.strip(F.regexp_extract("_raw", r"^([^\n]*)", 1)))
+        "_line", F.when(~F.col("_whole"), T.strip(F.substring_index("_raw", "\n", 1)))
     )
     rest = T.strip(F.expr("substring(_raw, length(article_no) + 1)"))
-    below = T.strip(F.regexp_replace("_raw", r"^[^\n]*\n?", ""))
+    below = T.strip(F.expr("substring(_raw, length(substring_index(_raw, '\\n', 1)) + 1)"))
     rows = rows.withColumns(
         {
             "content": F.when(F.col("_kind").isin("chapter", "section"), below).otherwise(rest),
