@@ -6,11 +6,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexframe.session import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LANDED: dict = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written once per session and input to the shared folder and read
+    back. Texts built from columns would otherwise be rebuilt inside every expression that
+    reads them. A scan with fewer partitions than cores is spread before the text work."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LANDED:
+        rows = build(spark, sf_dir)
+        cores = spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        path = fresh_path(spark, name)
+        rows.write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
 # ------------------------------------------------------------ article versions
 
 # Event type -> effect status of the version it opens.
@@ -123,6 +144,24 @@ NOTICE_LINES = (
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "notices", _notices)
+
+
+def notice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.operators.structure import parse_header
+
+    return landed(spark, sf_dir, "headers", lambda s, d: parse_header(notices(s, d)))
+
+
+def notice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.operators.structure import split_blocks
+
+    return landed(
+        spark, sf_dir, "blocks", lambda s, d: split_blocks(notice_headers(s, d), "doc_id")
+    )
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     year = F.year("o_orderdate")
     values = {
@@ -185,6 +224,16 @@ QUESTION_SQL = """
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "questions", _questions)
+
+
+def question_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.functions.facts import extract_facts
+
+    return landed(spark, sf_dir, "facts", lambda s, d: extract_facts(questions(s, d)))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question in words with the facts of the order and its customer."""
     from lexframe.functions.common import lookup
 

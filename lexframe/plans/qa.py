@@ -8,9 +8,16 @@ from lexframe.functions import text as T
 from lexframe.functions.common import lookup
 from lexframe.functions.facts import extract_facts
 from lexframe.operators import qa as Q
-from lexframe.operators import structure as S
 from lexframe.plans.base import Family
-from lexframe.plans.bindings import NOTICE_SQL, QUESTION_SQL, notices, questions, table
+from lexframe.plans.bindings import (
+    NOTICE_SQL,
+    QUESTION_SQL,
+    notice_blocks,
+    notices,
+    question_facts,
+    questions,
+    table,
+)
 
 family = Family()
 query = family.query
@@ -59,7 +66,7 @@ SELECT question_id, concat_ws(',', CASE WHEN taxpayer_type IS NULL THEN 'taxpaye
 FROM ({FACT_SQL}) f
 """)
 def missing_questions(spark, sf_dir):
-    facts = extract_facts(questions(spark, sf_dir))
+    facts = question_facts(spark, sf_dir)
     return facts.select(
         "question_id",
         F.array_join("missing", ",").alias("missing"),
@@ -72,7 +79,7 @@ EXTRA = {"F": "小规模纳税人适用。", "O": "个体工商户销售货物
 
 
 def _judged(spark, sf_dir):
-    facts = extract_facts(questions(spark, sf_dir))
+    facts = question_facts(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"),
         F.coalesce(lookup(F.col("o_orderstatus"), EXTRA), F.lit("")).alias("extra"),
@@ -120,7 +127,7 @@ def answer_table(spark, sf_dir):
     """Clarify, refuse or answer for every question, with its sections."""
     judged = _judged(spark, sf_dir)
     lists = Q.three_lists(judged)
-    asked = extract_facts(questions(spark, sf_dir))
+    asked = question_facts(spark, sf_dir)
     point = judged.groupBy("question_id").agg(
         F.min_by(T.best_sentence(F.col("content")), "rank").alias("judgement")
     )
@@ -168,8 +175,7 @@ UNION ALL
 SELECT doc_id, '第一章 总则 第二条 （一）', '销售额不超过' || amount || '元的，减按' || rate || '%征收； 按月申报； 按季申报。' FROM ({NOTICE_SQL}) n
 """)
 def short_clause_children(spark, sf_dir):
-    parsed = S.parse_header(notices(spark, sf_dir))
-    blocks = S.split_blocks(parsed, "doc_id").filter(
+    blocks = notice_blocks(spark, sf_dir).filter(
         F.col("level_code").isin("article", "paragraph", "item")
     )
     return Q.with_children(

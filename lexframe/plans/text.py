@@ -8,7 +8,7 @@ from lexframe.functions import text as T
 from lexframe.operators import relations as Rel
 from lexframe.operators import structure as S
 from lexframe.plans.base import Family
-from lexframe.plans.bindings import NOTICE_SQL, notices, table
+from lexframe.plans.bindings import NOTICE_SQL, notice_blocks, notice_headers, notices, table
 
 family = Family()
 query = family.query
@@ -99,7 +99,7 @@ FROM ({NOTICE_SQL}) n CROSS JOIN (VALUES
 
 
 def _blocks(spark, sf_dir):
-    return S.split_blocks(_parsed(spark, sf_dir), "doc_id")
+    return S.split_blocks(notice_headers(spark, sf_dir), "doc_id")
 
 
 @query(BLOCKS_SQL)
@@ -145,7 +145,7 @@ SELECT doc_id, source_no, round(0.4 + c + CASE WHEN length(content) BETWEEN 15 A
 FROM u
 """)
 def usability_units(spark, sf_dir):
-    units = S.knowledge_units(_blocks(spark, sf_dir), "doc_id")
+    units = S.knowledge_units(notice_blocks(spark, sf_dir), "doc_id")
     return units.select("doc_id", "source_no", "usability", "answer_summary", "question_hint")
 
 

@@ -9,12 +9,19 @@ from lexframe.functions import text as T
 from lexframe.functions import vectors as V
 from lexframe.functions.common import lookup
 from lexframe.operators import evaluate as E
-from lexframe.operators import structure as S
 from lexframe.operators import tax as X
 from lexframe.operators import verify as Vf
 from lexframe.operators.matching import passages_in_texts
 from lexframe.plans.base import Family
-from lexframe.plans.bindings import NOTICE_SQL, REGULATION_SQL, notices, regulations, table
+from lexframe.plans.bindings import (
+    NOTICE_SQL,
+    REGULATION_SQL,
+    notice_blocks,
+    notice_headers,
+    notices,
+    regulations,
+    table,
+)
 from lexframe.plans.retrieval import DOT_SQL
 from lexframe.plans.text import NUMBER_SQL
 
@@ -27,11 +34,10 @@ OFF_TOPIC = "毫不相干的一段文字。"
 
 def _library(spark, sf_dir):
     """The notices as regulations and articles."""
-    parsed = S.parse_header(notices(spark, sf_dir))
-    regs = parsed.select(
+    regs = notice_headers(spark, sf_dir).select(
         F.col("doc_id").alias("regulation_id"), "document_number", F.col("title").alias("regulation_title")
     )
-    blocks = S.split_blocks(parsed, "doc_id")
+    blocks = notice_blocks(spark, sf_dir)
     return regs, blocks.select(F.col("doc_id").alias("regulation_id"), "full_no", "content")
 
 
@@ -329,7 +335,7 @@ UNION ALL SELECT doc_id, 'repealed_trap', '增值税现在是怎么规定的' FR
 """)
 def eval_cases_gen(spark, sf_dir):
     """Candidate cases from the clauses of the notices and the repealed documents."""
-    blocks = S.split_blocks(S.parse_header(notices(spark, sf_dir)), "doc_id")
+    blocks = notice_blocks(spark, sf_dir)
     subjects = E.round_robin(
         notices(spark, sf_dir).select("doc_id"), ["doc_id"], E.SUBJECTS, "subject"
     )
