@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
 from lexframe.functions.common import contains_any, first_rule, lookup
+from lexframe.operators.corpus import number_rows
 
 # Thresholds, veto, canary ladder, class shares.
 THRESHOLDS = {"pass_rate": 0.85, "recall_at_5": 0.80}
@@ -43,21 +44,14 @@ def select_cases(cases: DataFrame, include_draft: bool = True, types: Sequence[s
     return out.filter(F.col("case_type").isin(*types)) if types else out
 
 
-def round_robin(df: DataFrame, order: Sequence[str], values: Sequence[str], name: str) -> DataFrame:
-    """Assign values in turn. The position is counted per bucket of the first order column
-    and carried over, so no single task sorts all rows."""
-    key = order[0]
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / 1_000_000))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    at = F.pmod(F.col("_off") + F.row_number().over(inside) - 1, F.lit(len(values)))
+def round_robin(df: DataFrame, key: str, values: Sequence[str], name: str) -> DataFrame:
+    """Assign values in turn, in the order of an integer key."""
+    at = F.pmod(F.col("_at") - 1, F.lit(len(values)))
     listed = F.array(*[F.lit(v) for v in values])
     return (
-        rows.join(offsets, "_bucket")
+        number_rows(df, key, "_at")
         .withColumn(name, F.element_at(listed, (at + 1).cast("int")))
-        .drop("_bucket", "_off")
+        .drop("_at")
     )
 
 

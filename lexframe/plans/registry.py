@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify")
+FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify", "planning")
 
 
 def _collect(attribute: str) -> dict:

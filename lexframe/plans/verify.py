@@ -337,7 +337,7 @@ def eval_cases_gen(spark, sf_dir):
     """Candidate cases from the clauses of the notices and the repealed documents."""
     blocks = notice_blocks(spark, sf_dir)
     subjects = E.round_robin(
-        notices(spark, sf_dir).select("doc_id"), ["doc_id"], E.SUBJECTS, "subject"
+        notices(spark, sf_dir).select("doc_id"), "doc_id", E.SUBJECTS, "subject"
     )
     articles = (
         blocks.filter(F.col("level_code") == "item")
