@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify", "planning")
+FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify", "planning", "evolve")
 
 
 def _collect(attribute: str) -> dict:
