@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ def dense_vectors(
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            counts = part["_tokens"].map(lambda t: pd.Series(t).value_counts().to_dict())
+            counts = part["_tokens"].map(Counter)
             yield pd.DataFrame({key: part[key], "vector": run(counts)})
 
     schema = f"{key} {dict(df.dtypes)[key]}, vector array<float>"

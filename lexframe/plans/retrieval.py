@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexframe.functions import vectors as V
+from lexframe.functions import text as T
 from lexframe.operators import retrieval as R
+from lexframe.operators import search as S
 from lexframe.operators.matching import passages_in_texts
 from lexframe.plans.base import Family
 from lexframe.plans.bindings import REGULATION_SQL, regulations, table
@@ -389,3 +391,51 @@ def rerank_topn(spark, sf_dir):
     return R.rerank(boosted, hints=DRIVER_HINTS).select(
         "question_id", "doc_id", "intent", "rerank", "boosted", "position"
     )
+
+
+# ---- embeddings and the whole search
+
+SEARCH_DIM = 64
+SEARCH_TERMS = (("hein", "thein", ("the",)), ("ones", "tiones", ("tion",)))
+SEARCH_NAMES = ("thand", "keit")
+
+
+@query("SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm FROM documents")
+def dense_hash_embed(spark, sf_dir):
+    """Unit vectors of all documents from the hash embedder."""
+    rows = V.dense_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", dim=SEARCH_DIM)
+    square = F.aggregate(
+        F.col("vector"), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
+    )
+    return rows.select(
+        "doc_id", F.size("vector").alias("dim"), F.round(F.sqrt(square), 4).alias("norm")
+    )
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """All benchmark questions over all citable documents, three routes to citations."""
+    n = F.col("n_chars")
+    corpus = regulations(spark, sf_dir).withColumns(
+        {
+            "valid_from": F.col("publish_date"),
+            "valid_to": F.lit(None).cast("date"),
+            "tax_types": T.detect_names(F.col("content"), SEARCH_NAMES),
+            "level_code": F.when(n > 2000, "article").when(n > 800, "paragraph").otherwise("item"),
+            "full_no": F.lit("全文"),
+        }
+    )
+    questions = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("long").alias("question_id"), "text", F.lit("2026-06-30").cast("date").alias("as_of")
+    )
+    found = S.hybrid_search(
+        questions,
+        S.index_tables(corpus, dim=SEARCH_DIM),
+        dim=SEARCH_DIM,
+        names=SEARCH_NAMES,
+        terms=SEARCH_TERMS,
+        intents=DRIVER_INTENTS,
+        hints=DRIVER_HINTS,
+        authoritative=regulations(spark, sf_dir),
+    )
+    return found.select("question_id", "doc_id", "position", "rerank", "label", "intent")
