@@ -57,23 +57,23 @@ def gap_clusters(
     failed = records.filter(~F.col("passed"))
     if latest is not None:
         failed = failed.orderBy(F.col("created_at").desc(), F.col("record_id")).limit(latest)
-    rows = failed.select(
-        topic.alias("topic"),
-        tax_type.alias("tax_type"),
-        F.when(F.col("outcome") == "degraded", F.lit("degraded")).otherwise(F.lit("low_confidence")).alias("reason"),
+    # Equal questions are counted before their topic is read, so the word rules run once
+    # per distinct question and a hot question is one row before the shuffle by topic.
+    asked = failed.groupBy(
         "question",
-        "created_at",
-        "record_id",
+        F.when(F.col("outcome") == "degraded", F.lit("degraded")).otherwise(F.lit("low_confidence")).alias("reason"),
+    ).agg(
+        F.count(F.lit(1)).alias("_times"), F.max("created_at").alias("_at"), F.min("record_id").alias("_id")
     )
-    counts = rows.groupBy("topic", "reason").agg(
-        F.min("tax_type").alias("tax_type"), F.count(F.lit(1)).alias("occurrences")
+    rows = asked.select(
+        topic.alias("topic"), tax_type.alias("tax_type"), "reason", "question", "_times", "_at", "_id"
     )
-    distinct = rows.groupBy("topic", "reason", "question").agg(
-        F.max("created_at").alias("_at"), F.min("record_id").alias("_id")
+    counts = rows.groupBy("topic", "reason").agg(
+        F.min("tax_type").alias("tax_type"), F.sum("_times").alias("occurrences")
     )
     newest = Window.partitionBy("topic", "reason").orderBy(F.col("_at").desc(), "_id")
     few = (
-        distinct.withColumn("_n", F.row_number().over(newest))
+        rows.withColumn("_n", F.row_number().over(newest))
         .filter(F.col("_n") <= samples)
         .groupBy("topic", "reason")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "question"))), lambda s: s["question"]).alias("samples"))
@@ -119,9 +119,10 @@ def gaps_by_type(gaps: DataFrame, regulations: DataFrame, names: str = "tax_type
 
 def feedback_gaps(log: DataFrame, topic: Column, tax_type: Column) -> DataFrame:
     """Answers marked as not helpful become gaps with reason ``user_feedback``."""
-    bad = log.filter(~F.col("helpful"))
-    return bad.groupBy(topic.alias("topic"), F.lit("user_feedback").alias("reason")).agg(
-        F.min(tax_type).alias("tax_type"), F.count(F.lit(1)).alias("occurrences")
+    bad = log.filter(~F.col("helpful")).groupBy("question").agg(F.count(F.lit(1)).alias("_times"))
+    rows = bad.select(topic.alias("topic"), tax_type.alias("tax_type"), "_times")
+    return rows.groupBy("topic", F.lit("user_feedback").alias("reason")).agg(
+        F.min("tax_type").alias("tax_type"), F.sum("_times").alias("occurrences")
     )
 
 
