@@ -27,7 +27,7 @@ def array_match(values: Column, wanted: Sequence[str], mode: str = "any") -> Col
     if mode == "any":
         return F.coalesce(F.arrays_overlap(values, listed), F.lit(False))
     if mode == "all":
-        return F.size(F.array_except(listed, F.coalesce(values, listed[0:0]))) == 0
+        return F.size(F.array_except(listed, F.coalesce(values, F.array().cast("array<string>")))) == 0
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexframe.functions.common import contains_any, text_of
 from lexframe.functions.text import blank_to_null, normalize_title
@@ -28,7 +29,7 @@ SIDECAR_SCHEMA = (
 Collector = Callable[[SparkSession], DataFrame]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(raw: pd.Series) -> pd.Series:
     """Text of bytes that are not UTF-8, by the first decoder that accepts them."""
 
