@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions.common import as_col, contains_any, lookup, null_if_empty, text_of
+from lexframe.functions.common import epoch_seconds, lookup, null_if_empty, text_of
 from lexframe.operators.temporal import citable, in_force
 from lexframe.rules import retrieval as R
 from lexframe.rules.ontology import (
@@ -143,13 +143,6 @@ def stable_point_id(version_id: Column) -> Column:
     )
 
 
-def epoch_seconds(moment: Column) -> Column:
-    """Unix seconds of a date or a zone-less timestamp read as UTC."""
-    at = moment.cast("timestamp_ntz")
-    days = F.unix_date(at.cast("date")).cast("long")
-    return days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-
-
 def index_entries(
     articles: DataFrame,
     version_id: str = "version_id",

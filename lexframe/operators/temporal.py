@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.functions.common import as_col
+from lexframe.functions.common import as_col, epoch_seconds
 from lexframe.rules.ontology import CITABLE_STATUSES
 
 
@@ -59,8 +59,10 @@ def citable_at(status: Column, start: Column, end: Column, moment: Column) -> Co
 # ---------------------------------------------------------------- bucketed order
 
 
-def time_bucket(moment: Column, days: int) -> Column:
-    return F.floor(F.unix_date(F.to_date(moment)) / F.lit(days)).cast("long")
+def time_bucket(moment: Column, days: float) -> Column:
+    """Number of the time bucket; a part of a day (1 / 24) gives finer buckets, for an
+    article whose rows of one day are too many for one task."""
+    return F.floor(epoch_seconds(moment) / F.lit(int(days * 86400))).cast("long")
 
 
 def _previous_buckets(keys: list[str]) -> Window:
@@ -99,7 +101,7 @@ def superseded_same_day(
 
 
 def version_chain(
-    amendments: DataFrame, key: str, start: str, seq: str, bucket_days: int = 7
+    amendments: DataFrame, key: str, start: str, seq: str, bucket_days: float = 7
 ) -> DataFrame:
     """Number the versions of each article and close each one where the next begins."""
     rows = drop_same_start(amendments, key, start, seq).withColumn(
@@ -152,7 +154,7 @@ def overlap_violations(
     start: str = "valid_from",
     end: str = "valid_to",
     tie: str = "version_id",
-    bucket_days: int = 7,
+    bucket_days: float = 7,
 ) -> DataFrame:
     """Versions that begin before an earlier version of the same article has ended.
 
@@ -198,7 +200,7 @@ def asof_last_known(
     version_columns: list[str],
     start: str = "valid_from",
     end: str = "valid_to",
-    bucket_days: int = 7,
+    bucket_days: float = 7,
 ) -> DataFrame:
     """For each probe the version in force at its moment, by carrying the last known
     version forward. Linear in versions + probes; probes without one keep nulls.
@@ -260,7 +262,7 @@ def asof_range_join(
     version_columns: list[str],
     start: str = "valid_from",
     end: str = "valid_to",
-    bucket_days: int = 7,
+    bucket_days: float = 7,
 ) -> DataFrame:
     """The same question as an equi-join on (article, time bucket) plus the interval test.
 
