@@ -65,6 +65,10 @@ def time_bucket(moment: Column, days: float) -> Column:
     return F.floor(epoch_seconds(moment) / F.lit(int(days * 86400))).cast("long")
 
 
+def _by_bucket(rows: DataFrame, key: str, moment: str, days: float) -> DataFrame:
+    return rows.withColumn("_bucket", time_bucket(F.col(moment), days)).repartition(key, "_bucket")
+
+
 def _previous_buckets(keys: list[str]) -> Window:
     return (
         Window.partitionBy(*keys)
@@ -73,25 +77,10 @@ def _previous_buckets(keys: list[str]) -> Window:
     )
 
 
-def drop_same_start(
-    amendments: DataFrame, key: str, start: str, seq: str
-) -> DataFrame:
-    """Keep the last amendment of each (article, start); earlier ones are superseded."""
-    rest = [c for c in amendments.columns if c not in (key, start)]
-    return (
-        amendments.groupBy(key, start)
-        .agg(
-            F.max_by(F.struct(*rest), F.col(seq)).alias("_last"),
-            (F.count(F.lit(1)) - 1).alias("superseded_rows"),
-        )
-        .select(key, start, "_last.*", "superseded_rows")
-    )
-
-
 def superseded_same_day(
     amendments: DataFrame, key: str, start: str, seq: str
 ) -> DataFrame:
-    """The amendments that ``drop_same_start`` replaced, for the report."""
+    """Amendments that a later one of the same start replaced, for the report."""
     last = amendments.groupBy(key, start).agg(F.max(seq).alias("_last_seq"))
     return (
         amendments.join(last, [key, start])
@@ -103,9 +92,19 @@ def superseded_same_day(
 def version_chain(
     amendments: DataFrame, key: str, start: str, seq: str, bucket_days: float = 7
 ) -> DataFrame:
-    """Number the versions of each article and close each one where the next begins."""
-    rows = drop_same_start(amendments, key, start, seq).withColumn(
-        "_bucket", time_bucket(F.col(start), bucket_days)
+    """Number the versions of each article and close each one where the next begins. Of
+    several amendments with one start the last one (by ``seq``) survives."""
+    # One exchange by (article, bucket) serves the same-start grouping, the summary, the
+    # join and the window; both readers of it share the shuffled files.
+    placed = _by_bucket(amendments, key, start, bucket_days)
+    rest = [c for c in amendments.columns if c not in (key, start)]
+    rows = (
+        placed.groupBy(key, "_bucket", start)
+        .agg(
+            F.max_by(F.struct(*rest), F.col(seq)).alias("_last"),
+            (F.count(F.lit(1)) - 1).alias("superseded_rows"),
+        )
+        .select(key, "_bucket", start, "_last.*", "superseded_rows")
     )
     summary = rows.groupBy(key, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.min(start).alias("_first")
@@ -161,7 +160,7 @@ def overlap_violations(
     One pass: the running maximum of earlier ends decides, so the cost is linear and no
     pair of versions is built. An open end (null) is later than every start.
     """
-    rows = versions.withColumn("_bucket", time_bucket(F.col(start), bucket_days))
+    rows = _by_bucket(versions, key, start, bucket_days)
     open_end = F.col(end).isNull()
     summary = rows.groupBy(key, "_bucket").agg(
         F.max(end).alias("_max_end"), F.max(open_end).alias("_any_open")
@@ -221,9 +220,7 @@ def asof_last_known(
         F.lit(1).alias("_kind"),
         F.struct(*probe_columns, F.lit(1).alias("_one")).alias("_p"),
     )
-    rows = v.unionByName(p, allowMissingColumns=True).withColumn(
-        "_bucket", time_bucket(F.col("_at"), bucket_days)
-    )
+    rows = _by_bucket(v.unionByName(p, allowMissingColumns=True), key, "_at", bucket_days)
     summary = rows.groupBy(key, "_bucket").agg(
         F.max_by("_v", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last_v")
     )
