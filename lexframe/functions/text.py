@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.functions.common import contains_any, extract, first_rule, lookup, null_if_empty, text_of
@@ -257,7 +257,10 @@ def names_with_aliases(
     text: Column, names: Sequence[str] = R.TAX_TYPES, terms: Sequence[tuple] = R.GLOSSARY
 ) -> Column:
     """Full names first; aliases only in what is left after masking the full names."""
-    rest = mask_names(text, names)
+    return _with_aliases(detect_names(text, names), mask_names(text, names), terms)
+
+
+def _with_aliases(full: Column, rest: Column, terms: Sequence[tuple]) -> Column:
     by_alias = [
         F.when(rest.contains(alias), F.array(*[F.lit(t) for t in types])).otherwise(
             F.array().cast("array<string>")
@@ -265,7 +268,7 @@ def names_with_aliases(
         for alias, _, types in sorted(terms, key=lambda t: -len(t[0]))
         if types
     ]
-    return F.array_distinct(F.concat(detect_names(text, names), *by_alias))
+    return F.array_distinct(F.concat(full, *by_alias))
 
 
 def names_from_category(category: Column, names: Sequence[str] = R.TAX_TYPES) -> Column:
@@ -613,24 +616,31 @@ def disclaimer_issue(disclaimer: Column, words: Sequence[str] = R.DISCLAIMER_WOR
     )
 
 
-def gap_topic(
-    text: Column,
+def add_gap_topic(
+    df: DataFrame,
+    text: str = "question",
     names: Sequence[str] = R.TAX_TYPES,
     terms: Sequence[tuple] = R.GLOSSARY,
     words: Sequence[str] = R.TOPIC_WORDS,
-) -> tuple[Column, Column]:
-    """(topic, tax type) of a question."""
-    full = detect_names(text, names)
-    tax = F.coalesce(F.get(full, F.lit(0)), F.get(names_with_aliases(text, names, terms), F.lit(0)))
+) -> DataFrame:
+    """Adds topic and tax_type of a question. The parts are columns of their own, so each
+    is computed once per row."""
     body = text_of(text)
-    word = first_rule([(w, body.contains(w)) for w in words])
+    rows = df.withColumns(
+        {
+            "_full": detect_names(body, names),
+            "_rest": mask_names(body, names),
+            "_word": first_rule([(w, body.contains(w)) for w in words]),
+        }
+    ).withColumn("tax_type", F.get(_with_aliases(F.col("_full"), F.col("_rest"), terms), F.lit(0)))
+    tax, word = F.col("tax_type"), F.col("_word")
     topic = (
         F.when(tax.isNotNull() & word.isNotNull(), F.concat_ws("·", tax, word))
         .when(tax.isNotNull(), tax)
         .when(word.isNotNull(), F.concat_ws("·", F.lit(R.TOPIC_NO_TAX), word))
         .otherwise(F.lit(R.TOPIC_NONE))
     )
-    return topic, tax
+    return rows.withColumn("topic", topic).drop("_full", "_rest", "_word")
 
 
 def parse_citation(text: Column) -> Column:

@@ -47,7 +47,7 @@ def new_titles(listing: DataFrame, known: DataFrame, title: str = "title") -> Da
 
 
 def gap_clusters(
-    records: DataFrame, topic: Column, tax_type: Column, latest: int | None = 500, samples: int = SAMPLES
+    records: DataFrame, latest: int | None = 500, samples: int = SAMPLES, add_topic=T.add_gap_topic
 ) -> DataFrame:
     """Failed answers per (topic, reason): count and the newest distinct samples.
 
@@ -65,9 +65,7 @@ def gap_clusters(
     ).agg(
         F.count(F.lit(1)).alias("_times"), F.max("created_at").alias("_at"), F.min("record_id").alias("_id")
     )
-    rows = asked.select(
-        topic.alias("topic"), tax_type.alias("tax_type"), "reason", "question", "_times", "_at", "_id"
-    )
+    rows = add_topic(asked)
     counts = rows.groupBy("topic", "reason").agg(
         F.min("tax_type").alias("tax_type"), F.sum("_times").alias("occurrences")
     )
@@ -117,11 +115,10 @@ def gaps_by_type(gaps: DataFrame, regulations: DataFrame, names: str = "tax_type
     )
 
 
-def feedback_gaps(log: DataFrame, topic: Column, tax_type: Column) -> DataFrame:
+def feedback_gaps(log: DataFrame, add_topic=T.add_gap_topic) -> DataFrame:
     """Answers marked as not helpful become gaps with reason ``user_feedback``."""
     bad = log.filter(~F.col("helpful")).groupBy("question").agg(F.count(F.lit(1)).alias("_times"))
-    rows = bad.select(topic.alias("topic"), tax_type.alias("tax_type"), "_times")
-    return rows.groupBy("topic", F.lit("user_feedback").alias("reason")).agg(
+    return add_topic(bad).groupBy("topic", F.lit("user_feedback").alias("reason")).agg(
         F.min("tax_type").alias("tax_type"), F.sum("_times").alias("occurrences")
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexframe.functions import text as T
 from lexframe.functions.common import lookup
 from lexframe.operators import corpus as C
 from lexframe.operators import evolve as E
@@ -230,8 +229,7 @@ def _records(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    topic, tax = T.gap_topic(F.col("question"))
-    return E.gap_clusters(_records(spark, sf_dir), topic, tax, latest=None)
+    return E.gap_clusters(_records(spark, sf_dir), latest=None)
 
 
 GAP_SQL = f"""
@@ -253,8 +251,7 @@ l AS (SELECT event_type, ts, event_id, value FROM events WHERE value > 10 ORDER
 SELECT {TOPIC_SQL} AS topic, CASE WHEN value > 20 THEN 'degraded' ELSE 'low_confidence' END AS reason, count(*) AS occurrences FROM l GROUP BY 1, 2""")
 def gap_clusters_latest(spark, sf_dir):
     """The report over the newest 500 failures."""
-    topic, tax = T.gap_topic(F.col("question"))
-    return E.gap_clusters(_records(spark, sf_dir), topic, tax).select("topic", "reason", "occurrences")
+    return E.gap_clusters(_records(spark, sf_dir)).select("topic", "reason", "occurrences")
 
 
 @query(f"""WITH {GAP_SQL},
@@ -280,11 +277,10 @@ def gap_upsert(spark, sf_dir):
 
 @query(f"""SELECT {TOPIC_SQL} AS topic, 'user_feedback' AS reason, count(*) AS occurrences FROM events WHERE value <= 3 GROUP BY 1""")
 def feedback_gaps(spark, sf_dir):
-    topic, tax = T.gap_topic(F.col("question"))
     log = _records(spark, sf_dir).join(
         table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), (F.col("value") > 3).alias("helpful")), "record_id"
     )
-    return E.feedback_gaps(log, topic, tax).select("topic", "reason", "occurrences")
+    return E.feedback_gaps(log).select("topic", "reason", "occurrences")
 
 
 # ---- health, digest, audit log, tree

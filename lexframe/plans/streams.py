@@ -71,9 +71,9 @@ FROM events WHERE value > 10 GROUP BY 1, 2""")
 def stream_gaps(spark, sf_dir):
     failed = _events(spark, sf_dir).filter(F.col("value") > 10)
     rows = failed.withColumn("question", lookup(F.col("event_type"), WORDS))
-    topic, _ = T.gap_topic(F.col("question"))
+    rows = T.add_gap_topic(rows)
     reason = F.when(F.col("value") > 20, "degraded").otherwise("low_confidence")
-    return J.newest(J.run(J.gap_counts(rows, topic, reason), "gaps", "update"), ["topic", "reason"])
+    return J.newest(J.run(J.gap_counts(rows, F.col("topic"), reason), "gaps", "update"), ["topic", "reason"])
 
 
 @query("""

@@ -162,9 +162,12 @@ def test_compliance(one):
     assert one(T.disclaimer_issue, "以主管税务机关认定为准", "仅供参考", None) == [None, "disclaimer_incomplete", "disclaimer_missing"]
 
 
-def test_gap_topics(one):
-    topic = lambda t: T.gap_topic(t)[0]
-    assert one(topic, "增值税怎么申报", "进项能抵扣吗", "怎么申报", "你好") == ["增值税·申报", "增值税·抵扣", "未标注税种·申报", "未分类问题"]
+def test_gap_topics(spark):
+    texts = ["增值税怎么申报", "进项能抵扣吗", "怎么申报", "你好"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, question string")
+    rows = T.add_gap_topic(df).orderBy("i").collect()
+    assert [r.topic for r in rows] == ["增值税·申报", "增值税·抵扣", "未标注税种·申报", "未分类问题"]
+    assert [r.tax_type for r in rows] == ["增值税", "增值税", None, None]
 
 
 def test_citation_text(one):
