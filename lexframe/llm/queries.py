@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexframe.llm import mixing, shards  # noqa: F401
+from lexframe.llm import decontaminate, mixing, shards  # noqa: F401
 from lexframe.llm.base import registered
 
 
