@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexframe.llm import decontaminate, mixing, quality, shards  # noqa: F401
+from lexframe.llm import decontaminate, mixing, quality, secret_scan, shards  # noqa: F401
 from lexframe.llm.base import registered
 
 
