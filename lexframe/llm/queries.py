@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexframe.llm import decontaminate, langid, mixing, neardup, quality, secret_scan, shards  # noqa: F401
+from lexframe.llm import decontaminate, html_text, langid, licenses, mixing, neardup, quality, secret_scan, shards, suffixes  # noqa: F401
 from lexframe.llm.base import registered
 
 
