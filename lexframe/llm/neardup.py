@@ -219,7 +219,8 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width:
     weight = chosen.groupBy("root").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + PLACES * 4) / BLOCK_BYTES).alias("blocks"))
     chosen = cut_lineage(chosen.join(weight, "root").drop("n_shingles"), "chosen")
     texts = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), _key().alias("key"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(chosen, ["id", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Both sides grow with the corpus; neither is ever broadcast.
+    rows = texts.join(chosen.hint("merge"), ["id", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "text")
     rows = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
@@ -250,12 +251,11 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents without words stay all."""
     found = cut_lineage(near_duplicates(docs), "groups")
     chosen = found.where("node IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("rep"))
-    chosen = chosen.select(F.col("rep.doc_id").alias("__id"), F.col("rep.key").alias("__key"))
+    chosen = chosen.select(F.coalesce("rep.doc_id", F.lit(-1 << 63)).alias("__id"), F.col("rep.key").alias("__key"))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     has_word = F.regexp_like(whole("text"), F.lit(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("__doc"), _key().alias("__text"), has_word.alias("__words"))
-    kept = rows.where("__words").join(chosen, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
-    kept = kept.dropDuplicates(["__doc", "__text"])
+    rows = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), _key().alias("__key"), has_word.alias("__words"))
+    kept = rows.where("__words").join(chosen.hint("merge"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
     return kept.select("__row.*").unionByName(rows.where("NOT __words").select("__row.*"))
 
 
