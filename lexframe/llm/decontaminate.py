@@ -54,14 +54,12 @@ class Windows:
         self.lengths = sorted(r["len"] for r in self.table.select("len").distinct().collect())
         self.sent = self.table.count() <= limit
         self.known: dict[int, tuple[list[int], list[int]]] = {}
-        self.texts: list[str] = []
         if self.sent:
             hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
-            rows = self.table.select("len", "text", hashes.alias("h")).select("len", "text", F.col("h")[0].alias("first"), F.xxhash64("h").alias("all")).collect()
+            rows = self.table.select("len", hashes.alias("h")).select("len", F.col("h")[0].alias("first"), F.xxhash64("h").alias("all")).collect()
             for n in self.lengths:
                 own = [r for r in rows if r["len"] == n]
                 self.known[n] = sorted({r["first"] for r in own}), sorted({r["all"] for r in own})
-            self.texts = sorted({r["text"] for r in rows})
 
 
 def _known(values: list[int], what: str) -> str:
@@ -80,8 +78,9 @@ def _places(windows: Windows, n: int) -> Column:
 def with_candidates(docs: DataFrame, windows: Windows) -> DataFrame:
     """Adds n_words and `hits`, the places whose hash is known (all places if none were sent)."""
     own = [c for c in docs.columns if c not in ("words", "h", "hits", "n_words")]
-    rows = docs.select(*own, words_of(whole("text")).alias("words"))
-    rows = rows.select(*own, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    # `inline` keeps the optimizer from putting the arrays' making into every place that reads them.
+    rows = docs.select(*own, F.inline(F.array(F.struct(words_of(whole("text")).alias("words")))))
+    rows = rows.select(*own, "words", F.inline(F.array(F.struct(F.transform("words", lambda w: F.xxhash64(w)).alias("h")))))
     found = [_places(windows, n) for n in windows.lengths]
     hits = reduce(F.concat, found) if found else F.array().cast(_HITS)
     return rows.select(*own, F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
@@ -120,25 +119,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, li
     )
 
 
-def _with_hits(docs: DataFrame, windows: Windows) -> DataFrame:
-    """The documents with `hits` cut to true ones."""
-    if windows.sent:
-        texts = ",".join(f"'{t}'" for t in windows.texts)
-        true = F.expr(f"filter(hits, x -> x.text IN ({texts}))") if texts else F.col("hits")
-        return with_candidates(docs, windows).withColumn("hits", true)
-    row = F.struct(*docs.columns).alias("__row")
-    keyed = docs.select(row, "text", "doc_id", F.md5(whole("text").cast("binary")).alias("key"))
-    places = with_candidates(keyed.select("doc_id", "key", "text"), windows).select(F.struct("doc_id", "key").alias("row_id"), "hits")
+def _with_hits(docs: DataFrame, windows: Windows, only: str = "left") -> DataFrame:
+    """The documents with `hits`, the places of true windows; with `only` left_anti, those without any. The
+    candidates are written first, so that the known hashes stand in one narrow plan."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), F.md5(whole("text").cast("binary")).alias("__key")]
+    places = with_candidates(docs.select(F.struct(*key).alias("row_id"), "text"), windows).select("row_id", "hits")
+    places = cut_lineage(places.where(F.size("hits") > 0), "candidates")
     found = verified(places, windows).groupBy("row_id").agg(F.collect_set(F.struct("pos", "len", F.lit("").alias("text"))).alias("hits"))
-    keyed = keyed.withColumn("row_id", F.struct("doc_id", "key"))
-    joined = keyed.join(found.withColumnRenamed("row_id", "found_id"), F.col("row_id").eqNullSafe(F.col("found_id")), "left")
+    found = found.select("row_id.*", "hits")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *key)
+    if only == "left_anti":
+        return keyed.join(found, ["__id", "__key"], "left_anti").select("__row.*")
+    joined = keyed.join(found, ["__id", "__key"], "left")
     return joined.select("__row.*", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT) -> DataFrame:
     """The documents without a window of the benchmark, whole and unchanged."""
-    rows = _with_hits(docs, Windows(benchmark, width, limit))
-    return rows.where(F.size("hits") == 0).select(*docs.columns)
+    return _with_hits(docs, Windows(benchmark, width, limit), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT) -> DataFrame:
