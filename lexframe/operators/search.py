@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexframe.functions import text as T
 from lexframe.functions import vectors as V
 from lexframe.operators import retrieval as R
+from lexframe.operators.temporal import in_force
 from lexframe.rules import retrieval as RR
 from lexframe.rules import text as TR
 
@@ -126,8 +127,12 @@ def hybrid_search(
         equal = R.fuse(both, q, key, {"sparse": 1.0, "dense": 1.0})
         routes.append(R.route(equal, "semantic", q, key, [F.col("rrf").desc(), F.col(key)], RR.ROUTE_DEPTH))
     if "structured" in available:
-        by_number = asked.filter(F.col("query_document_number").isNotNull()).join(
-            payload, F.col("query_document_number") == F.col("document_number")
+        # Naming a document lifts neither of the gates that the other routes have.
+        tags = F.col("tag_mask").bitwiseAND(tag_mask(F.col("tax_types"), names)) == F.col("tag_mask")
+        by_number = (
+            asked.filter(F.col("query_document_number").isNotNull())
+            .join(payload, F.col("query_document_number") == F.col("document_number"))
+            .filter(tags & in_force(F.col("valid_from"), F.col("valid_to"), F.col("as_of")))
         )
         ranked = R.route(
             by_number, "structured", q, key, [*R.structured_order(), F.col(key)], RR.STRUCTURED_DEPTH
