@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexframe.functions import text as T
 from lexframe.functions.common import text_of
 from lexframe.rules import text as R
+from lexframe.session import cut_lineage
 
 TOP = "|".join(p.lstrip("^") for p in (R.CHAPTER, R.SECTION))
 OPENS = "|".join(p.lstrip("^") for p in (R.ARTICLE, R.CN_ITEM))
@@ -207,26 +208,34 @@ def knowledge_units(blocks: DataFrame, key: str) -> DataFrame:
     )
 
 
-def article_tree(nodes: DataFrame, key: str, parent: str, levels: int = 5) -> DataFrame:
-    """Depth, root and path of each node. A node whose parent is missing is a root. One
-    join per level: the tree has at most five."""
+def article_tree(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """Depth, root and path of each node, at any depth. A node whose parent is missing is a root; one
+    in or below a cycle has neither root nor depth.
+
+    Each round doubles how far up a node sees, so that the joins are logarithmic in the depth. Nodes that
+    see a root take no further part as the left side."""
     up = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
     known = up.select(F.col("_k").alias("_known"))
-    up = up.join(known, F.col("_p") == F.col("_known"), "left").select(
-        "_k", F.col("_known").alias("_p")
-    )
+    up = up.join(known, F.col("_p") == F.col("_known"), "left")
     rows = up.select(
         F.col("_k").alias(key),
-        F.col("_p").alias("_next"),
-        F.col("_k").alias("root"),
-        F.lit(0).alias("depth"),
-    )
-    for _ in range(levels - 1):
-        step = up.select(F.col("_k").alias("_at"), F.col("_p").alias("_above"))
-        rows = rows.join(step, F.col("_next") == F.col("_at"), "left").select(
+        F.coalesce("_known", "_k").alias("root"),
+        F.col("_known").isNotNull().cast("int").alias("depth"),
+        F.col("_known").isNull().alias("_done"),
+    )
+    rows = cut_lineage(rows, "tree")
+    for _ in range(rows.count().bit_length() + 1):
+        open_rows = rows.filter(~F.col("_done"))
+        if open_rows.isEmpty():
+            break
+        step = rows.select(
+            F.col(key).alias("_at"), F.col("root").alias("_root"), F.col("depth").alias("_more"), F.col("_done").alias("_ends")
+        )
+        moved = open_rows.join(step, F.col("root") == F.col("_at")).select(
             key,
-            F.col("_above").alias("_next"),
-            F.coalesce("_next", "root").alias("root"),
-            (F.col("depth") + F.col("_next").isNotNull().cast("int")).alias("depth"),
+            F.col("_root").alias("root"),
+            (F.col("depth") + F.col("_more")).alias("depth"),
+            F.col("_ends").alias("_done"),
         )
-    return rows.drop("_next")
+        rows = cut_lineage(rows.filter("_done").unionByName(moved), "tree")
+    return rows.select(key, F.when(F.col("_done"), F.col("root")).alias("root"), F.when(F.col("_done"), F.col("depth")).alias("depth"))

@@ -78,6 +78,13 @@ def test_article_tree(spark):
     assert got == {"a": (0, "a"), "b": (1, "a"), "c": (2, "a"), "d": (0, "d")}
 
 
+def test_article_tree_deep_and_cyclic(spark):
+    chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(11)]
+    df = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "y"), (None, "c2")], "k string, p string")
+    got = {r.k: (r.depth, r.root) for r in S.article_tree(df, "k", "p").collect()}
+    assert got == {f"c{i}": (i, "c0") for i in range(11)} | {k: (None, None) for k in "xyz"} | {None: (3, "c0")}
+
+
 def test_relations(spark):
     text = "根据《中华人民共和国增值税法》制定本公告。详见附件2。《财税〔2016〕36号》、财税[2016]36号同时废止。本公告取代《旧的管理办法》。"
     df = spark.createDataFrame([(1, text, "财税〔2020〕1号"), (2, "普通文字。", None)], "id int, text string, own string")
