@@ -202,19 +202,23 @@ def asof_last_known(
     bucket_days: float = 7,
 ) -> DataFrame:
     """For each probe the version in force at its moment, by carrying the last known
-    version forward. Linear in versions + probes; probes without one keep nulls.
+    version forward. Linear in versions + probes; probes without one keep nulls, and so do
+    those without a key or a moment.
 
     Versions of one article must not overlap (see ``overlap_violations``).
     """
     attrs = [start, end, *version_columns]
     probe_columns = [c for c in probes.columns if c not in (key, moment)]
-    v = versions.select(
+    given = F.col(key).isNotNull() & F.col(moment).isNotNull()
+    without = [F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in attrs]
+    unplaced = probes.filter(~given).select(key, moment, *probe_columns, *without)
+    v = versions.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
         key,
         F.col(start).alias("_at"),
         F.lit(0).alias("_kind"),
         F.struct(*attrs).alias("_v"),
     )
-    p = probes.select(
+    p = probes.filter(given).select(
         key,
         F.col(moment).alias("_at"),
         F.lit(1).alias("_kind"),
@@ -243,12 +247,13 @@ def asof_last_known(
         .filter(F.col("_kind") == 1)
     )
     live = in_force(F.col(f"_known.{start}"), F.col(f"_known.{end}"), F.col("_at"))
-    return known.select(
+    placed = known.select(
         key,
-        F.col("_at").alias(moment),
+        F.col("_at").cast(probes.schema[moment].dataType).alias(moment),
         *[F.col(f"_p.{c}").alias(c) for c in probe_columns],
         *[F.when(live, F.col(f"_known.{c}")).alias(c) for c in attrs],
     )
+    return placed.unionByName(unplaced)
 
 
 def asof_range_join(

@@ -96,6 +96,9 @@ def test_both_asof_forms_agree_with_brute_force(spark):
     for p, a, t in probes:
         known = [(d, s) for k, d, s in amendments if k == a and d <= t]
         want[p] = max(known)[1] if known else None
+    unplaced = [(300, None, D(2024, 5, 1)), (301, 1, None), (302, None, None)]
+    pdf = pdf.unionByName(spark.createDataFrame(unplaced, "p int, a int, t date"))
+    want |= {p: None for p, _, _ in unplaced}
     for form in (T.asof_last_known, T.asof_range_join):
         got = {r.p: r.seq for r in form(chain, pdf, "a", "t", ["seq"]).collect()}
         assert got == want, form.__name__
