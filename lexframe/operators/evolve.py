@@ -47,16 +47,17 @@ def new_titles(listing: DataFrame, known: DataFrame, title: str = "title") -> Da
 
 
 def gap_clusters(
-    records: DataFrame, latest: int | None = 500, samples: int = SAMPLES, add_topic=T.add_gap_topic
+    records: DataFrame, since: Column | None = None, samples: int = SAMPLES, add_topic=T.add_gap_topic
 ) -> DataFrame:
     """Failed answers per (topic, reason): count and the newest distinct samples.
 
-    records: record_id, question, outcome, passed, created_at. The samples are ranked
+    records: record_id, question, outcome, passed, created_at. All failures count, or those at or
+    after ``since``. The samples are ranked
     before they are collected, so a hot topic never gathers its rows in one place.
     """
     failed = records.filter(~F.col("passed"))
-    if latest is not None:
-        failed = failed.orderBy(F.col("created_at").desc(), F.col("record_id")).limit(latest)
+    if since is not None:
+        failed = failed.filter(F.col("created_at") >= since)
     # Equal questions are counted before their topic is read, so the word rules run once
     # per distinct question and a hot question is one row before the shuffle by topic.
     asked = failed.groupBy(

@@ -19,13 +19,11 @@ _LANDED: dict = {}
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table, written once per session and input to the shared folder and read
     back. Texts built from columns would otherwise be rebuilt inside every expression that
-    reads them. A scan with fewer partitions than cores is spread before the text work."""
+    reads them. The rows are always spread over the session's partitions before the text work."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LANDED:
         rows = build(spark, sf_dir)
-        cores = spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores)
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         path = fresh_path(spark, name)
         rows.write.parquet(path)
         _LANDED[key] = path

@@ -229,7 +229,7 @@ def _records(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    return E.gap_clusters(_records(spark, sf_dir), latest=None)
+    return E.gap_clusters(_records(spark, sf_dir))
 
 
 GAP_SQL = f"""
@@ -247,11 +247,12 @@ def gap_clusters(spark, sf_dir):
 
 
 @query(f"""WITH {GAP_SQL},
-l AS (SELECT event_type, ts, event_id, value FROM events WHERE value > 10 ORDER BY ts DESC, event_id LIMIT 500)
+l AS (SELECT event_type, ts, event_id, value FROM events WHERE value > 10 AND ts >= TIMESTAMP '2024-01-10')
 SELECT {TOPIC_SQL} AS topic, CASE WHEN value > 20 THEN 'degraded' ELSE 'low_confidence' END AS reason, count(*) AS occurrences FROM l GROUP BY 1, 2""")
 def gap_clusters_latest(spark, sf_dir):
-    """The report over the newest 500 failures."""
-    return E.gap_clusters(_records(spark, sf_dir)).select("topic", "reason", "occurrences")
+    """The report over the failures from a day on."""
+    since = F.lit("2024-01-10").cast("timestamp_ntz")
+    return E.gap_clusters(_records(spark, sf_dir), since).select("topic", "reason", "occurrences")
 
 
 @query(f"""WITH {GAP_SQL},
