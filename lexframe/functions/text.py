@@ -110,7 +110,9 @@ def issuer_of(number: Column) -> Column:
 
 
 def issuer_inferred(number: Column) -> Column:
-    return F.coalesce(number.rlike(R.NUMBER_BRACKET), F.lit(False))
+    """Whether the issuer comes from the prefix of a bracket number, and not from its own words."""
+    known = lookup(F.substring(number, 1, 2), R.ISSUER_BY_PREFIX).isNotNull()
+    return F.coalesce(number.rlike(R.NUMBER_BRACKET) & known & extract(number, R.NUMBER_NEW, 1).isNull(), F.lit(False))
 
 
 def publish_date(number: Column) -> Column:

@@ -257,11 +257,11 @@ def _exemption_verdict(rows: DataFrame, sales: Column, gross: Column) -> DataFra
 def _vat_steps(general: Column, gross: Column, verdict: Column) -> Column:
     net = F.when(
         gross & F.col("_net").isNotNull() & (~general | F.col("output_vat").isNull()),
-        step("不含税销售额", "含税金额 ÷（1 + 税率）", F.col("_net"), R.VAT_NET_CITATION),
+        step("net_sales", "gross / (1 + rate)", F.col("_net"), R.VAT_NET_CITATION),
     )
     output = F.when(
         general & F.col("output_vat").isNull(),
-        step("销项税额", "不含税销售额 × 适用税率", F.col("_output"), F.col("_match.citation")),
+        step("output_tax", "net_sales * rate", F.col("_output"), F.col("_match.citation")),
     )
     exempt = F.when(
         ~general & (verdict == "exempt"),
@@ -274,10 +274,10 @@ def _vat_steps(general: Column, gross: Column, verdict: Column) -> Column:
     )
     final = F.when(
         general,
-        step("应纳税额", "销项税额 - 进项税额", F.col("_payable"), R.VAT_GENERAL_CITATION),
+        step("payable", "output_tax - input_tax", F.col("_payable"), R.VAT_GENERAL_CITATION),
     ).when(
         verdict != "exempt",
-        step("应纳税额", "销售额 × 征收率", F.col("_payable"), R.VAT_GENERAL_CITATION),
+        step("payable", "net_sales * levy_rate", F.col("_payable"), R.VAT_GENERAL_CITATION),
     )
     return present([net, output, exempt, final])
 

@@ -56,8 +56,8 @@ def date_extract(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, concat_ws('|', CASE WHEN status = 'P' THEN '文号未识别，需人工确认（系统不编造文号）' END,
-  CASE WHEN priority = '1-URGENT' THEN '缺少来源 URL 与获取时间，按合规要求不予收录' END) AS reasons
+SELECT doc_id, concat_ws('|', CASE WHEN status = 'P' THEN 'no_document_number' END,
+  CASE WHEN priority = '1-URGENT' THEN 'no_source_url' END) AS reasons
 FROM ({NOTICE_SQL}) n WHERE status = 'P' OR priority = '1-URGENT'
 """)
 def pending_reasons(spark, sf_dir):

@@ -331,7 +331,7 @@ WITH numbered AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) -
 SELECT o_orderkey AS doc_id, 'standard' AS case_type, CASE s WHEN 0 THEN '小规模纳税人' WHEN 1 THEN '一般纳税人' WHEN 2 THEN '小型微利企业' ELSE '个体工商户' END
   || '的增值税怎么申报' AS question FROM numbered
 UNION ALL SELECT o_orderkey, 'standard', '增值税能按季申报吗' FROM numbered
-UNION ALL SELECT doc_id, 'repealed_trap', '增值税现在是怎么规定的' FROM ({REGULATION_SQL}) r WHERE effect_status = 'repealed'
+UNION ALL SELECT doc_id, 'repealed_trap', '请说明增值税目前的规定' FROM ({REGULATION_SQL}) r WHERE effect_status = 'repealed'
 """)
 def eval_cases_gen(spark, sf_dir):
     """Candidate cases from the clauses of the notices and the repealed documents."""
