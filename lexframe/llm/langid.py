@@ -1,15 +1,17 @@
 """Language identification by a string kernel, Nystroem landmarks and kernel ridge regression.
 
-Blended-spectrum presence kernel: a text is the set of its character n-grams of one to four
+Blended-spectrum presence kernel: a piece of text is the set of its character n-grams of one to four
 characters, small-cased, with white space as one blank and digits as one sign, hashed to `BINS`
-places. The kernel of two texts is the number of places both have over the geometric mean of their
-own numbers. Some labelled texts are landmarks; a text's kernel values to them, whitened by
+places. The kernel of two pieces is the number of places both have over the geometric mean of their
+own numbers. A text is cut into equal pieces of at most `PIECE` characters, as the places of a
+longer one would fill up; the kernel of two texts is the mean over all pairs of their pieces, so that
+every character counts and the score of a long text is the mean of its pieces' scores. Some labelled texts are landmarks; a text's kernel values to them, whitened by
 the landmarks' own kernel matrix, are its features. One ridge regression for each language is
 fitted on these. All steps of a prediction are folded into one matrix, so that a batch of texts
 is scored by two matrix products.
 
 The fit takes at most `FIT_ROWS` labelled texts, chosen by a hash of the id, of which only the
-presence bits (512 bytes each) reach the driver; `LANDMARKS` of them are landmarks, dealt to the
+mean presences (8 KB each before packing) reach the driver; `LANDMARKS` of them are landmarks, dealt to the
 languages in turn. Documents with crc32(id) mod 4 = 2 are held out.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled
@@ -19,6 +21,7 @@ in the fit; an empty table gives no rows; other columns are ignored, and kept by
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from lexframe.llm.base import register, table
 
-BINS, LENGTHS = 4096, 4
+BINS, LENGTHS, PIECE = 4096, 4, 4096
 FIT_ROWS, LANDMARKS, RIDGE = 4_000, 256, 1e-2
 UNKNOWN = "und"
-#: Texts scored at a time: 32 MB of presence values at most.
+#: Texts scored at a time: 16 MB of presence values at most.
 BATCH = 1024
 
 _FACTORS = np.random.default_rng(104_729).integers(1, 1 << 62, LENGTHS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,31 +42,33 @@ _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
 def presence(text: str) -> np.ndarray:
-    """Which places the n-grams of the whole text have."""
-    found = np.zeros(BINS, bool)
+    """The mean over the text's pieces of which places their n-grams have, each piece at length one."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(codes <= 32, 32, np.where((codes >= 48) & (codes <= 57), 48, codes)).astype(np.uint64)
     codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]
+    pieces = -(-len(codes) // PIECE)
+    # An n-gram belongs to the piece it starts in.
+    rows = np.arange(len(codes)) * pieces // len(codes) * BINS
+    found = np.zeros(pieces * BINS, bool)
     value = np.zeros(len(codes), np.uint64)
     for n in range(min(LENGTHS, len(codes))):
         value = value[: len(codes) - n] + (codes[n:] + np.uint64(n + 1)) * _FACTORS[n]
         mixed = (value ^ (value >> np.uint64(31))) * _FACTORS[0]
-        found[(mixed >> _SHIFT).astype(np.int64)] = True
-    return found
+        found[rows[: len(mixed)] + (mixed >> _SHIFT).astype(np.int64)] = True
+    found = found.reshape(pieces, BINS)
+    total = np.zeros(BINS, np.float32)
+    for piece in found:
+        total += piece * np.float32(1 / np.sqrt(np.count_nonzero(piece)))
+    return total / pieces
 
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
-
 @dataclass
 class Model:
-    """Unit presence of the landmarks (transposed) and the weights of their kernel values."""
+    """Presence of the landmarks (transposed) and the weights of their kernel values."""
 
     languages: list[str]
     landmarks: np.ndarray
@@ -71,7 +76,7 @@ class Model:
     start: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return (_unit(x) @ self.landmarks) @ self.weights + self.start
+        return (x @ self.landmarks) @ self.weights + self.start
 
 
 def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -83,12 +88,11 @@ def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float =
         own = labels == language
         turns[own] = np.arange(own.sum())
     marks = np.argsort(turns, kind="stable")[:landmarks]
-    unit = _unit(x)
-    points = unit[marks].T
+    points = x[marks].T
     values, vectors = np.linalg.eigh((points.T @ points).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = (unit @ points) @ whiten
+    features = (x @ points) @ whiten
     mean = features.mean(0)
     target = (labels[:, None] == np.array(languages)).astype(float)
     share = target.mean(0)
@@ -105,21 +109,21 @@ def held_out(doc_id="doc_id"):
 def fit_languages(docs: DataFrame, limit: int = FIT_ROWS) -> Model | None:
     """A model of at most `limit` labelled texts that are not held out; None without any."""
 
-    def bits(batches):
+    def packed(batches):
         for batch in batches:
             rows = [(lang, text) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(text)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([np.packbits(presence(r[1])).tobytes() for r in rows], pa.binary())],
-                ["lang", "bits"],
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([zlib.compress(presence(r[1]).astype(np.float16).tobytes(), 1) for r in rows], pa.binary())],
+                ["lang", "packed"],
             )
 
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).select("doc_id").distinct()
     texts = known.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
-    found = sorted((r["lang"], bytes(r["bits"])) for r in texts.select("lang", "text").mapInArrow(bits, "lang string, bits binary").limit(2 * limit).collect())
+    found = sorted((r["lang"], bytes(r["packed"])) for r in texts.select("lang", "text").mapInArrow(packed, "lang string, packed binary").limit(2 * limit).collect())
     if not found:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in found), np.uint8)).reshape(len(found), BINS)
+    x = np.stack([np.frombuffer(zlib.decompress(b), np.float16) for _, b in found]).astype(np.float32)
     return fit(x, [lang for lang, _ in found])
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexframe.llm import html_text, langid, licenses, mixing, neardup, shards, suffixes
@@ -177,6 +178,23 @@ def test_language_on_held_out_rows(spark):
     assert langid.with_language(docs.select("doc_id", "text"), None).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_language_of_long_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_languages(docs)
+    held = docs.where(langid.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").collect()
+    draw, rows = random.Random(17), []
+    for lang in model.languages:
+        own = sorted(r.text for r in held if r.lang == lang)
+        for size in (300_000, 1_000_000, 2_000_000):
+            for _ in range(2):
+                text = ""
+                while len(text) < size:
+                    text += draw.choice(own) + "\n"
+                rows.append((len(rows), text, lang))
+    found = langid.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert len(found) == 24 and [(r.doc_id, r.lang) for r in found if r.lang_pred != r.lang] == []
+
+
 # Pages
 
 
