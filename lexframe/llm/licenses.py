@@ -1,14 +1,17 @@
 """Licence scans by a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line with a word. Its features are its distinct words and word pairs, small-cased
-and without punctuation, hashed to `BINS` places (sparse n-grams). A softmax regression gives each
-paragraph a share for every licence family and for `none`. It is trained here on paragraphs made by rule
-from the templates (pieces of each template between other words) and, as `none`, on at most
-`FIT_ROWS` paragraphs of the corpus that hold none of the templates' telling words, at most one of
-each document, chosen by a hash of the id. Half of these are kept from the training to calibrate:
-the bar of `unknown` is the family share that only `FALSE_SHARE` of them exceed. A paragraph above
-the bar is a prediction; it is confirmed as its family if the words of one of the family's templates
-stand in it nearly in full (`CONFIRM` of its word pairs), and else is `unknown`.
+A paragraph is a run of lines with words, up to a line without one. It is read in windows of `WINDOW`
+words, a new one every `STRIDE`, so that each run of words as long as the longest template lies whole in
+one of them, wherever lines are wrapped. The features of a window are its distinct words and word
+pairs, small-cased and without punctuation, hashed to `BINS` places (sparse n-grams). A softmax
+regression gives each window a share for every licence family and for `none`. It is trained here on
+windows made by rule from the templates (each template between other words) and, as `none`, on
+windows of at most `FIT_ROWS` paragraphs of the corpus that hold none of the templates' telling words,
+at most one of each document, chosen by a hash of the id. Half of these are kept from the training to
+calibrate: the bar of `unknown` is the family share that the windows of only `FALSE_SHARE` of them
+exceed. A window above the bar is a prediction; it is confirmed as its family if the words of one of
+the family's templates stand in it nearly in full (`CONFIRM` of its word pairs), and else is `unknown`.
+A paragraph has each family once, and `unknown` if such a window shares no word with a confirmed one.
 
 Defined cases: a null text has no paragraphs; without training paragraphs of the corpus the bar
 is `BAR`; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -28,6 +31,9 @@ from lexframe.llm.words import mixed, word_bounds, word_hashes
 
 BINS, FIT_ROWS, FALSE_SHARE, BAR, CONFIRM = 8192, 4_000, 0.0005, 0.5, 0.8
 PIECES, STEPS, RATE, RIDGE = 40, 200, 2.0, 1e-4
+WINDOW, STRIDE = 24, 8
+#: Windows scored at a time: 10 MB of weights at most.
+BATCH = 4096
 NONE, UNKNOWN = "none", "unknown"
 #: Words that keep a paragraph from being an example of `none`.
 TELLING = r"(?i)licen[cs]e|copyright|warrant|redistribut|public domain|rights reserved"
@@ -49,7 +55,7 @@ TEMPLATES = {
 }
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != ".")
-_CLEAN = bytes(32 if c in _PUNCTUATION else c for c in range(256))
+_CLEAN = bytes(32 if c in _PUNCTUATION or c in b"\t\r" else c for c in range(256))
 
 
 def paragraph_words(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +68,27 @@ def paragraph_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, True), np.searchsorted(breaks, starts)
 
 
-def features(words: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, place): the distinct places of each line's words and word pairs, by line."""
-    if not len(words):
-        return lines, np.empty(0, np.int64)
-    same = lines[1:] == lines[:-1]
-    pairs = mixed(words[:-1] * np.uint64(3) + words[1:])[same]
-    found = np.concatenate([lines, lines[:-1][same]]) * BINS + (np.concatenate([words, pairs]) % np.uint64(BINS)).astype(np.int64)
+def windows(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraph, start, end) of the windows of words in these lines."""
+    if not len(lines):
+        return (np.empty(0, np.int64),) * 3
+    first = np.flatnonzero(np.append(True, lines[1:] - lines[:-1] > 1))
+    size = np.diff(np.append(first, len(lines)))
+    count = 1 + -(-np.maximum(size - WINDOW, 0) // STRIDE)
+    paragraph = np.repeat(np.arange(len(first)), count)
+    turn = np.arange(len(paragraph)) - np.repeat(np.cumsum(count) - count, count)
+    end = np.minimum(turn * STRIDE + WINDOW, size[paragraph])
+    return paragraph, first[paragraph] + np.maximum(end - WINDOW, 0), first[paragraph] + end
+
+
+def features(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place): the distinct places of each window's words and word pairs, by window."""
+    size = ends - starts
+    own = np.repeat(np.arange(len(starts)), size)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - starts, size)
+    pairs = mixed(words[:-1] * np.uint64(3) + words[1:])
+    inside = at + 1 < ends[own]
+    found = np.concatenate([own, own[inside]]) * BINS + (np.concatenate([words[at], pairs[at[inside]]]) % np.uint64(BINS)).astype(np.int64)
     found = np.unique(found)
     return found // BINS, found % BINS
 
@@ -80,21 +100,53 @@ class Model:
     bar: float
     pairs: list[list[np.ndarray]]
 
-    def shares(self, lines: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, shares): lines that have a word, with the share of each family; `none` is the last."""
-        own, start = np.unique(lines, return_index=True)
-        counts = np.diff(np.append(start, len(lines)))
-        total = np.add.reduceat(self.weights[places], start, 0) / np.sqrt(counts)[:, None] + self.weights[BINS]
-        total = np.exp(total - total.max(1, keepdims=True))
-        return own, total / total.sum(1, keepdims=True)
-
-    def confirms(self, family: int, words: np.ndarray) -> bool:
+    def shares(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The share of each family in each window; `none` is the last."""
+        out = np.empty((len(starts), self.weights.shape[1]), np.float32)
+        for k in range(0, len(starts), BATCH):
+            own, places = features(words, starts[k : k + BATCH], ends[k : k + BATCH])
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            counts = np.diff(np.append(first, len(own)))
+            total = np.add.reduceat(self.weights[places], first, 0) / np.sqrt(counts)[:, None] + self.weights[BINS]
+            total = np.exp(total - total.max(1, keepdims=True))
+            out[k : k + BATCH] = total / total.sum(1, keepdims=True)
+        return out
+
+    def confirmed(self, family: int, words: np.ndarray) -> int | None:
+        """Where a template of the family starts among the words (its longest run of word pairs)."""
         own = _pairs(words)
-        return any(np.isin(t, own).mean() >= CONFIRM for t in self.pairs[family])
+        for template in self.pairs[family]:
+            if np.isin(template, own).mean() >= CONFIRM:
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], np.isin(own, template), [0]])))
+                return int(edges[::2][np.argmax(edges[1::2] - edges[::2])])
+        return None
+
+    def found(self, words: np.ndarray, lines: np.ndarray) -> tuple[int, list[dict]]:
+        """The number of paragraphs, and line, family and score of what is predicted in them."""
+        paragraph, starts, ends = windows(lines)
+        if not len(words):
+            return 0, []
+        shares = self.shares(words, starts, ends)[:, :-1]
+        known, rest, upto = {}, [], {}
+        for at in np.flatnonzero(shares.max(1) > self.bar):
+            best, score = int(shares[at].argmax()), float(shares[at].max())
+            start = self.confirmed(best, words[starts[at] : ends[at]])
+            if start is None:
+                rest.append((score, int(at)))
+                continue
+            upto.setdefault(int(paragraph[at]), []).append((starts[at], ends[at]))
+            key = int(paragraph[at]), self.families[best]
+            if key not in known or known[key][1] < score:
+                known[key] = int(lines[starts[at] + start]), score
+        for score, at in sorted(rest, reverse=True):
+            key = int(paragraph[at]), UNKNOWN
+            if key not in known and not any(s < ends[at] and starts[at] < e for s, e in upto.get(key[0], ())):
+                known[key] = int(lines[(starts[at] + ends[at]) // 2]), score
+        return int(paragraph[-1]) + 1, [{"line": line, "family": f, "score": score} for (_, f), (line, score) in sorted(known.items(), key=lambda x: (x[1][0], x[0]))]
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
-    return np.unique(mixed(words[:-1] * np.uint64(3) + words[1:]))
+    return mixed(words[:-1] * np.uint64(3) + words[1:])
 
 
 def fit(plain: list[str]) -> Model:
@@ -106,11 +158,17 @@ def fit(plain: list[str]) -> Model:
     texts, labels = list(kept), [len(families)] * len(kept)
     for number, family in enumerate(families):
         for template in TEMPLATES[family]:
+            room = max(0, WINDOW - len(template.split()))
             for _ in range(PIECES):
-                before, after = (" ".join(draw.choice(around, draw.integers(0, 8))) for _ in range(2))
+                cut, size = sorted(draw.integers(0, room + 1, 2))
+                before, after = (" ".join(around[i] for i in draw.integers(0, len(around), n)) for n in (cut, size - cut))
                 texts.append(f"{before} {template} {after}")
                 labels.append(number)
-    rows = [features(*paragraph_words(text.replace("\n", " "))) for text in texts]
+    rows = []
+    for text in texts:
+        words = paragraph_words(text.replace("\n", " "))[0]
+        start = int(draw.integers(0, max(0, len(words) - WINDOW) + 1))
+        rows.append(features(words, np.array([start]), np.array([min(start + WINDOW, len(words))])))
     y = np.zeros((len(texts), len(families) + 1), np.float32)
     y[np.arange(len(texts)), labels] = 1
     row = np.repeat(np.arange(len(rows)), [len(p) for _, p in rows])
@@ -125,45 +183,40 @@ def fit(plain: list[str]) -> Model:
         p = np.exp(x @ weights)
         p /= p.sum(1, keepdims=True)
         weights -= RATE * 8 * (x.T @ ((p - y) * cost) + RIDGE * weights)
-    pairs = [[_pairs(paragraph_words(t)[0]) for t in TEMPLATES[f]] for f in families]
+    pairs = [[np.unique(_pairs(paragraph_words(t)[0])) for t in TEMPLATES[f]] for f in families]
     model = Model(families, weights, BAR, pairs)
     top = []
     for text in judged:
-        found = features(*paragraph_words(text.replace("\n", " ")))
-        if len(found[0]):
-            top.append(float(model.shares(*found)[1][0, :-1].max()))
+        words, _ = paragraph_words(text.replace("\n", " "))
+        if len(words):
+            top.append(float(model.shares(words, *windows(np.zeros(len(words), np.int64))[1:])[:, :-1].max()))
     if top:
         model.bar = float(np.clip(np.quantile(top, 1 - FALSE_SHARE), 0.2, 0.9))
     return model
 
 
 def fit_licenses(docs: DataFrame, limit: int = FIT_ROWS) -> Model:
-    lines = F.filter(F.split(whole("text"), "\n"), lambda x: (F.char_length(x) <= 2000) & F.regexp_like(x, F.lit(r"\w")) & ~F.regexp_like(x, F.lit(TELLING)))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.get(lines, F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(lines), F.lit(1))).cast("int")).alias("line"))
-    rows = rows.where("line IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(limit)
-    return fit([r["line"] for r in rows.collect()])
+    parts = F.filter(F.split(whole("text"), r"\n[^\S\n]*\n"), lambda x: F.regexp_like(x, F.lit(r"\w")) & ~F.regexp_like(x, F.lit(TELLING)))
+    # Of a long paragraph, a piece of 2,000 characters from anywhere in it.
+    start = F.pmod(F.xxhash64("hash"), F.greatest(F.char_length("part") - 1999, F.lit(1))).cast("int") + 1
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("hash"), parts.alias("parts"))
+    rows = rows.select("doc_id", "hash", F.get("parts", F.pmod("hash", F.greatest(F.size("parts"), F.lit(1))).cast("int")).alias("part")).where("part IS NOT NULL")
+    # Each task hands in ids only; texts are read for the chosen ones.
+    chosen = rows.select("doc_id", "hash").orderBy("hash", "doc_id").limit(limit).select("doc_id").distinct()
+    rows = rows.join(chosen, "doc_id", "left_semi").select("doc_id", "hash", F.substring("part", start, F.lit(2000)).alias("part"))
+    rows = rows.orderBy("hash", "doc_id", "part").limit(limit)
+    return fit([r["part"] for r in rows.collect()])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, n_licence, n_unknown, families (sorted, comma-joined) and found: the line number, family
-    and score of each predicted paragraph."""
+    and score of each paragraph's families, the line being where the notice starts."""
 
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                words, lines = paragraph_words(text or "")
-                if not len(words):
-                    out.append((0, []))
-                    continue
-                own, shares = model.shares(*features(words, lines))
-                found = []
-                for at in np.flatnonzero(shares[:, :-1].max(1) > model.bar):
-                    best = int(shares[at, :-1].argmax())
-                    mine = words[np.searchsorted(lines, own[at]) : np.searchsorted(lines, own[at], "right")]
-                    family = model.families[best] if model.confirms(best, mine) else UNKNOWN
-                    found.append({"line": int(own[at]), "family": family, "score": float(shares[at, best])})
-                out.append((len(own), found))
+                out.append(model.found(*paragraph_words(text or "")))
             kind = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in out], pa.int64()), pa.array([f for _, f in out], kind)], ["doc_id", "n_paragraphs", "found"])
 

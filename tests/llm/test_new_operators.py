@@ -233,6 +233,26 @@ def test_license_families(spark):
     assert licenses.scan(docs.limit(0), licenses.fit([])).count() == 0
 
 
+def test_license_notices_that_are_wrapped_or_inside_long_lines(spark):
+    draw = random.Random(16)
+    plain = lambda n: " ".join(words(draw, n))
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    lgpl = "it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either"
+    rows = [(i, "\n\n".join("\n".join(plain(11) for _ in range(3)) for _ in range(4))) for i in range(200)]
+    marked = [
+        (300, bsd, "bsd", 0),
+        (301, f"{plain(9)}\n{plain(30)}\r\n\r\n# {bsd.replace(chr(10), chr(13) + chr(10) + '# ')}\r\n\r\n{plain(60)}", "bsd", 3),
+        (302, f"/*\n * {plain(12)}\n *\n * {lgpl}\n */\n{plain(40)}", "lgpl", 3),
+        (303, f"{plain(1000)} Released under the MIT License. {plain(1000)}", "mit", 0),
+        (304, f"{plain(1990)} Licensed under the GNU General Public License", "gpl", 0),
+        (305, f"{plain(700)}\n{plain(3)} {bsd} {plain(700)} Released under the MIT License. {plain(600)}", "bsd,mit", 1),
+    ]
+    docs = docs_of(spark, rows + [(i, t) for i, t, _, _ in marked])
+    found = {r.doc_id: r for r in licenses.scan(docs, licenses.fit_licenses(docs)).collect()}
+    assert [(i, found[i].families, found[i].n_unknown, found[i].found[0].line) for i, _, _, _ in marked] == [(i, f, 0, line) for i, _, f, line in marked]
+    assert sum(found[i].n_licence for i, _ in rows) == 0 and all(found[i].n_paragraphs == 4 for i, _ in rows)
+
+
 # Sharding, mixing, pipeline
 
 
