@@ -2,8 +2,10 @@
 
 A page is read into elements (unclosed and misnested tags are closed as browsers do). The subtree of
 an element is hashed: tag, class, text and the hashes of its children. Spark counts for each host
-on how many pages a subtree occurs; what occurs on `SHARE` of a host's pages, and on `PAGES` at least,
-is a template and is deleted wherever that host has it. Blocks of running text inside an `article` or
+on how many pages a subtree occurs. What occurs outside of `article` and `main` on `PAGES` pages that
+are no copies of each other is a template, however large the host is, and is deleted wherever that
+host has it outside of them. Inside them a template is what occurs on `SHARE` of a host's pages, and
+on `PAGES` at least. Blocks of running text inside an `article` or
 `main` are the author's and never count as templates, as copies of one article would delete each
 other. Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 or reader comments by tag, role, id or class are deleted on every page.
@@ -11,8 +13,8 @@ or reader comments by tag, role, id or class are deleted on every page.
 The text is that of the article elements, or else of `main`, or else of the whole body. Blocks
 are cut at block tags.
 
-A host's templates are few: each is on `SHARE` of its pages, so that there are at most 1 / SHARE times
-the mean number of subtrees. They meet the pages in a join that is salted by page.
+Subtrees meet the templates by (host, subtree), so that a task never holds a host's templates together;
+a page gets those that it has itself.
 
 Defined cases: a null html is empty and has an empty text; a url without a host (or null) has no
 templates; repeated rows are one page more each; an empty table gives no rows; other columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm.base import cut_lineage, register, table, whole
 
-SHARE, PAGES, SALTS = 0.5, 10, 16
+SHARE, PAGES = 0.5, 10
 
 #: Tags by what they do, and names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,28 +138,35 @@ class Page(HTMLParser):
             found.append(i in wanted or (parent >= 0 and found[parent]))
         return found
 
-    def candidates(self) -> set[int]:
-        """Hashes of the subtrees that may be templates."""
-        content = self.inside(self.roots["article"] + self.roots["main"])
+    def places(self) -> tuple[list[bool], list[bool]]:
+        """For each element: whether it may be a template, and whether it stands outside of article and main."""
+        roots = self.roots["article"] + self.roots["main"]
+        content = self.inside(roots)
         holds_root = [False] * len(self.tags)
-        for i in self.roots["article"] + self.roots["main"]:
+        for i in roots:
             while i >= 0 and not holds_root[i]:
                 holds_root[i] = True
                 i = self.parents[i]
-        found = set()
+        may = []
         for i, tag in enumerate(self.tags):
             running = content[i] and (tag in RUNNING or tag in INLINE)
-            if i and not holds_root[i] and not running and tag not in ("html", "body"):
-                found.add(self.digests[i])
+            may.append(bool(i) and not holds_root[i] and not running and tag not in ("html", "body"))
+        return may, [not inside for inside in content]
+
+    def candidates(self) -> dict[int, bool]:
+        """Hashes of the subtrees that may be templates, and whether they occur outside of article and main."""
+        found: dict[int, bool] = {}
+        for digest, may, outside in zip(self.digests, *self.places(), strict=True):
+            if may:
+                found[digest] = found.get(digest, False) or outside
         return found
 
-    def text(self, templates: frozenset[int]) -> str:
+    def text(self, templates: dict[int, bool]) -> str:
+        """The main text; `templates` says of each whether it goes everywhere, or only outside of article and main."""
         gone = []
-        content = self.inside(self.roots["article"] + self.roots["main"])
-        for i, parent in enumerate(self.parents):
-            spared = i == 0 or self.tags[i] in ("html", "body") or (content[i] and (self.tags[i] in RUNNING or self.tags[i] in INLINE))
-            template = not spared and self.digests[i] in templates and i not in self.roots["article"] and i not in self.roots["main"]
-            gone.append((parent >= 0 and gone[parent]) or self.marked[i] or template)
+        for i, (may, outside) in enumerate(zip(*self.places(), strict=True)):
+            template = may and self.digests[i] in templates and (outside or templates[self.digests[i]])
+            gone.append((i > 0 and gone[self.parents[i]]) or self.marked[i] or template)
         live = {k: [i for i in v if not gone[i]] for k, v in self.roots.items()}
         chosen = live["article"] or live["main"] or [0]
         inside = self.inside(chosen)
@@ -173,21 +182,25 @@ class Page(HTMLParser):
         return "\n\n".join(blocks)
 
 
-def _templates_of(batches):
+def _subtrees(batches):
     for batch in batches:
-        hosts, found = [], []
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = sorted(Page(html).candidates()) if host else []
+        keys, hosts, found, outside = [], [], [], []
+        for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
+            page = Page(html)
+            own = sorted(page.candidates().items()) if host else []
+            keys += [key] * len(own)
             hosts += [host] * len(own)
-            found += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "subtree"])
+            found += [d for d, _ in own]
+            outside += [page.digests[0] if o else None for _, o in own]
+        columns = [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(outside, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "host", "subtree", "outside"])
 
 
 def _texts(batches):
     for batch in batches:
         texts = []
         for html, templates in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True):
-            texts.append(Page(html).text(frozenset(templates or ())))
+            texts.append(Page(html).text({t["subtree"]: t["everywhere"] for t in templates or ()}))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -196,23 +209,32 @@ def host_of(url="url"):
     return F.when(found != "", found)
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    key = F.xxhash64("page_id", "url", whole("html"))
+    return pages.select("page_id", "url", whole("html").alias("html"), host_of().alias("host"), key.alias("key"))
+
+
+def _found(pages: DataFrame) -> DataFrame:
+    rows = _rows(pages).where("host IS NOT NULL").select("key", "host", "html")
+    return rows.mapInArrow(_subtrees, "key long, host string, subtree long, outside long")
+
+
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """(host, templates): subtrees on at least `share` of a host's pages, and on `least` pages."""
-    rows = pages.select(host_of().alias("host"), whole("html").alias("html")).where("host IS NOT NULL")
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
-    counts = rows.mapInArrow(_templates_of, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") >= least).join(totals, "host").where(F.col("n") >= F.col("pages") * share)
-    return found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    """(host, subtree, everywhere): subtrees on at least `least` different pages outside of article and main, or on
+    at least `share` of the host's; only these go everywhere."""
+    totals = _rows(pages).where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+    counts = _found(pages).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("outside").alias("n_outside"))
+    found = counts.where(F.col("n") >= least).join(totals, "host").withColumn("everywhere", F.col("n") >= F.col("pages") * share)
+    return found.where(F.col("everywhere") | (F.col("n_outside") >= least)).select("host", "subtree", "everywhere")
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url and text of every page."""
-    found = cut_lineage(site_templates(pages, share, least), "templates")
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    salted = salted.withColumnRenamed("host", "__host")
-    rows = pages.select("page_id", "url", whole("html").alias("html"), host_of().alias("host"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    rows = rows.join(salted, (F.col("host") == F.col("__host")) & (F.col("own") == F.col("salt")), "left")
+    templates = cut_lineage(site_templates(pages, share, least), "templates")
+    own = _found(pages).select("key", "host", "subtree").join(templates, ["host", "subtree"])
+    own = own.groupBy("key").agg(F.collect_set(F.struct("subtree", "everywhere")).alias("templates"))
+    # Both sides grow with the pages; neither is ever broadcast.
+    rows = _rows(pages).join(own.hint("merge"), "key", "left")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     return rows.select("page_id", "url", "html", "templates").mapInArrow(_texts, f"page_id {kinds['page_id']}, url string, text string")
 

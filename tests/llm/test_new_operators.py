@@ -213,6 +213,24 @@ def test_main_text_without_site_template(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_below_half_of_a_hosts_pages(spark):
+    def page(i):
+        return f"<body><div class=x{i % 4}><p>Widget {i % 4} of the host</p></div><h1>Story {i}</h1><div><p>Body {i}</p></div></body>"
+
+    quoted = "<div>Quoted by a quarter</div>"
+    rows = [(i, "http://a.example/x", page(i)) for i in range(60)]
+    rows += [(100 + i, "http://a.example/x", f"<body><article><p>In {i}</p>{quoted}<div class=x0><p>Widget 0 of the host</p></div></article></body>") for i in range(15)]
+    rows += [(200 + i, "http://b.example/x", "<body><div><p>Copy of a page</p></div></body>" if i < 12 else f"<body><p>Other {i}</p></body>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert len(found) == len(rows)
+    for i in range(60):
+        assert found[i] == f"Story {i}\n\nBody {i}"
+    for i in range(15):
+        assert found[100 + i] == f"In {i}\n\nQuoted by a quarter\n\nWidget 0 of the host"
+    assert found[200] == "Copy of a page"
+
+
 # Licences
 
 
