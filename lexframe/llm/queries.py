@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexframe.llm import decontaminate, filter_audit, html_text, langid, licenses, mixing, neardup, quality, secret_scan, shards, suffixes  # noqa: F401
+from lexframe.llm import decontaminate, filter_audit, html_text, langid, licenses, mixing, neardup, neighbours, prefix_trie, quality, secret_scan, shards, suffixes  # noqa: F401
 from lexframe.llm.base import registered
 
 
