@@ -293,10 +293,10 @@ def _single_strings(width: int):
 
 
 def _with_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text, wanted): the documents with a list of their anchors among `wanted`; repeated rows come all."""
+    """(text, wanted): the documents with a list of their anchors among `wanted`; of repeated rows one comes."""
     fields = F.struct("gram", "block", "pos", "before", "after")
     lists = wanted.groupBy("id", "key").agg(F.collect_list(fields).alias("wanted"))
-    return texts.join(lists, ["id", "key"]).select("text", "wanted")
+    return texts.dropDuplicates(["id", "key"]).join(lists.hint("merge"), ["id", "key"]).select("text", "wanted")
 
 
 def repeated_spans(texts: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
@@ -358,6 +358,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataF
 
 @register("op9_suffix_dedup")
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with what is left of it without repeated 400-byte strings."""
+    """Every document with what is left of it without repeated 400-byte strings: its hash, its bytes counted and as
+    text, where a character cut in two is replaced by U+FFFD."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), text.alias("text")
+    )
