@@ -4,7 +4,9 @@ Every vector gets one more component, which brings all to the length of the long
 so that the largest product is the least distance. In each of `TABLES` tables a vector falls into the bucket
 of `k` functions floor((a.x + b) / w) with normal a. A query looks into its own bucket and into
 those next to it, in the order of estimated success: the sum of the squared distances to the borders that
-lead there is least first. The distinct candidates of all its buckets are ranked by exact products.
+lead there is least first. The distinct candidates of all its buckets are ranked by exact products. Own
+buckets come in a first round; the score of the last of the best found there is a bar that
+candidates of the other buckets must reach to be sent on at all.
 
 The index is fitted to a bounded sample: `FIT` rows give w and the shares of large buckets, and up to
 `TRIALS` queries, held against every row, give the number of functions and of probes that find `RECALL`
@@ -37,7 +39,7 @@ from lexframe.llm.base import cut_lineage, register, table
 from lexframe.llm.words import mixed
 
 TOP, EVERY = 20, 20
-TABLES, BUCKET, BLOCK = 2, 2_048, 4_096
+TABLES, BUCKET, BLOCK = 2, 2_048, 16_384
 #: Rows and queries that the index is fitted to, and the share of true neighbours it is fitted to find.
 FIT, TRIALS, RECALL = 16_384, 128, 0.97
 #: Probes of a table at most; functions at most; width in standard deviations of a projection.
@@ -47,7 +49,7 @@ PROBE_ROWS = 500
 _SEED = 41
 
 _CELL = ["bucket", "block", "dim"]
-_ROWS = "bucket long, block long, dim int, kind int, id long, v binary"
+_ROWS = "bucket long, block long, dim int, kind int, id long, v binary, bar double"
 
 
 def _finite(x):
@@ -166,45 +168,59 @@ def _smallest_of_equal(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
     return np.sort(order[rank <= top])
 
 
-def _cells(index: Index, every: int, top: int):
-    """Rows of the tables: each vector in its bucket (kind 0), each query in every block it probes (kind 1)."""
+def _rows(buckets, blocks, dim, kind, ids, raw, bars):
+    n = len(ids)
+    columns = [pa.array(buckets), pa.array(blocks), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(ids), raw, pa.array(bars, pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, [*_CELL, "kind", "id", "v", "bar"])
 
-    def rows(buckets, blocks, dim, kind, ids, raw):
-        n = len(ids)
-        columns = [pa.array(buckets), pa.array(blocks), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(ids), raw]
-        return pa.RecordBatch.from_arrays(columns, [*_CELL, "kind", "id", "v"])
+
+def _vectors_in_cells(index: Index, top: int):
+    """Each vector in its bucket of each table (kind 0)."""
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("id"), np.int64)
             for at, x in _by_size(batch) if len(ids) else ():
-                dim, own = x.shape[1], ids[at]
-                raw = [r.tobytes() for r in x]
-                keep = _smallest_of_equal(own, x, top)
-                asking = np.flatnonzero(own % every == 0)
+                keep = _smallest_of_equal(ids[at], x, top)
+                own, x = ids[at][keep], x[keep]
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
                 for t in range(TABLES):
-                    found = index.bucket(np.floor(index.places(x[keep], t, False)), t, dim)
-                    block = (mixed(own[keep].astype(np.uint64)) % index.n_blocks(found).astype(np.uint64)).astype(np.int64)
-                    yield rows(found, block, dim, 0, own[keep], pa.array([raw[i] for i in keep], pa.binary()))
-                    for start in range(0, len(asking), 256):
-                        q = asking[start : start + 256]
-                        places = index.places(x[q], t, True)
-                        cells = np.floor(places).astype(np.int64)[:, None, :] + index.steps(places, index.probes)
-                        found = index.bucket(cells, t, dim)
-                        blocks = index.n_blocks(found)
-                        who = np.repeat(np.repeat(np.arange(len(q)), found.shape[1]), blocks.ravel())
-                        first = np.cumsum(blocks.ravel()) - blocks.ravel()
-                        number = np.arange(len(who)) - np.repeat(first, blocks.ravel())
-                        buckets = np.repeat(found.ravel(), blocks.ravel())
+                    found = index.bucket(np.floor(index.places(x, t, False)), t, x.shape[1])
+                    block = (mixed(own.astype(np.uint64)) % index.n_blocks(found).astype(np.uint64)).astype(np.int64)
+                    yield _rows(found, block, x.shape[1], 0, own, raw, np.zeros(len(own)))
+
+    return run
+
+
+def _queries_in_cells(index: Index, first: int, last: int):
+    """Each query in every block of the buckets that its probes from `first` to `last` visit (kind 1)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, bars = np.asarray(batch.column("id"), np.int64), np.asarray(batch.column("bar"), np.float64)
+            for at, x in _by_size(batch) if len(ids) else ():
+                for start in range(0, len(at), 256):
+                    q, some = at[start : start + 256], x[start : start + 256]
+                    raw = [r.tobytes() for r in some]
+                    for t in range(TABLES):
+                        places = index.places(some, t, True)
+                        cells = np.floor(places).astype(np.int64)[:, None, :] + index.steps(places, last)[:, first:]
+                        found = index.bucket(cells, t, x.shape[1])
+                        blocks = index.n_blocks(found).ravel()
+                        who = np.repeat(np.repeat(np.arange(len(q)), found.shape[1]), blocks)
+                        number = np.arange(len(who)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                        buckets = np.repeat(found.ravel(), blocks)
                         for part in range(0, len(who), 16_384):
-                            w = who[part : part + 16_384]
-                            yield rows(buckets[part : part + 16_384], number[part : part + 16_384], dim, 1, own[q[w]], pa.array([raw[q[i]] for i in w], pa.binary()))
+                            piece = slice(part, part + 16_384)
+                            w = who[piece]
+                            yield _rows(buckets[piece], number[piece], x.shape[1], 1, ids[q[w]], pa.array([raw[i] for i in w], pa.binary()), bars[q[w]])
 
     return run
 
 
-def best_of(qids, q, ids, x, top):
-    """For each query the positions and exact scores of its best rows, ties to smaller ids. `ids` are sorted."""
+def best_of(qids, q, bars, ids, x, top):
+    """For each query the positions and exact scores of its best rows that reach its bar, ties to smaller ids. `ids` are
+    sorted."""
     q, x = q.astype(np.float64), x.astype(np.float64)
     rough = q @ x.T
     # The query's own rows, wherever they are.
@@ -212,7 +228,7 @@ def best_of(qids, q, ids, x, top):
     for i in np.flatnonzero(hi > lo):
         rough[i, lo[i] : hi[i]] = -np.inf
     n = min(top, len(ids))
-    bar = np.partition(rough, len(ids) - n, 1)[:, len(ids) - n]
+    bar = np.maximum(np.partition(rough, len(ids) - n, 1)[:, len(ids) - n], bars)
     slack = 1e-12 * np.abs(q).sum(1) * np.abs(x).max(initial=0)
     for i in range(len(q)):
         at = np.flatnonzero((rough[i] >= bar[i] - slack[i]) & (rough[i] > -np.inf))
@@ -227,8 +243,8 @@ def _cell_best(dtype, top: int):
     def matrix(rows):
         return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
 
-    def results(qids, queries, ids, vectors):
-        out = list(best_of(np.array(qids), matrix(queries), ids, vectors, top))
+    def results(qids, queries, bars, ids, vectors):
+        out = list(best_of(np.array(qids), matrix(queries), np.array(bars), ids, vectors, top))
         n = [len(at) for at, _ in out]
         found = np.concatenate([ids[at] for at, _ in out])
         score = np.concatenate([s for _, s in out])
@@ -240,12 +256,12 @@ def _cell_best(dtype, top: int):
         def answer():
             if asked and len(ready[0]):
                 keys = list(asked)
-                yield results([k[0] for k in keys], [k[1] for k in keys], *ready)
+                yield results([k[0] for k in keys], [k[1] for k in keys], list(asked.values()), *ready)
             asked.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in [*_CELL, "kind", "id", "v"]]
-            for bucket, block, dim, kind, i, v in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in [*_CELL, "kind", "id", "v", "bar"]]
+            for bucket, block, dim, kind, i, v, bar in zip(*columns, strict=True):
                 if (bucket, block, dim) != cell:
                     yield from answer()
                     cell, ids, vectors, ready = (bucket, block, dim), [], [], None
@@ -256,7 +272,7 @@ def _cell_best(dtype, top: int):
                 else:
                     if ready is None:
                         ready = np.array(ids, np.int64), matrix(vectors) if ids else None
-                    asked[i, v] = None
+                    asked[i, v] = bar
                     if len(asked) >= 512:
                         yield from answer()
         yield from answer()
@@ -289,7 +305,7 @@ def _scan(qids: np.ndarray, queries: list[np.ndarray], top: int):
                     continue
                 order = np.argsort(ids[at], kind="stable")
                 sorted_ids, x = ids[at][order], x[order]
-                found = best_of(qids[mine], np.stack([queries[i] for i in mine]), sorted_ids, x, top)
+                found = best_of(qids[mine], np.stack([queries[i] for i in mine]), -np.inf, sorted_ids, x, top)
                 for i, (best, score) in zip(mine, found, strict=True):
                     old = held.get(i, (np.empty(0, np.int64), np.empty(0), np.empty((0, x.shape[1]), x.dtype)))
                     all_ids, all_scores = np.append(old[0], sorted_ids[best]), np.append(old[1], score)
@@ -376,17 +392,25 @@ def neighbours(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFr
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dtype = np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
-    found = _best_in_cells(rows.mapInArrow(_cells(index, every, top), _ROWS), dtype, top)
-    found = cut_lineage(_merged(found, top), "found")
-    # Queries with too few candidates meet all rows in blocks.
     asked = rows.where(F.col("id") % every == 0)
+    cells = rows.mapInArrow(_vectors_in_cells(index, top), _ROWS)
+    no_bar = asked.withColumn("bar", F.lit(float("-inf")))
+    own = cells.unionByName(no_bar.mapInArrow(_queries_in_cells(index, 0, 1), _ROWS))
+    found = cut_lineage(_merged(_best_in_cells(own, dtype, top), top), "own")
+    if index.probes > 1:
+        bars = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+        barred = asked.join(bars.hint("merge"), "id", "left").fillna(float("-inf"), "bar")
+        others = cells.unionByName(barred.mapInArrow(_queries_in_cells(index, 1, index.probes), _ROWS))
+        both = found.drop("rank").unionByName(_best_in_cells(others, dtype, top))
+        found = cut_lineage(_merged(both, top), "found")
+    # Queries with too few candidates meet all rows in blocks.
     filled = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"))
     short = cut_lineage(asked.join(filled.hint("merge"), "id", "left_anti"), "short")
     if short.isEmpty():
         return found.select("query_id", "rank", "vec_id", "score")
     blocks = max(1, rows.count() // BLOCK)
     raw = lambda df, kind, block: df.select(
-        F.lit(0).cast("long").alias("bucket"), block.alias("block"), F.size("v").alias("dim"), F.lit(kind).alias("kind"), "id", "v"
+        F.lit(0).cast("long").alias("bucket"), block.alias("block"), F.size("v").alias("dim"), F.lit(kind).alias("kind"), "id", "v", F.lit(float("-inf")).alias("bar")
     )
     cells = raw(rows, 0, F.pmod(F.xxhash64("id"), F.lit(blocks))).unionByName(raw(short, 1, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1)))))
     cells = cells.mapInArrow(_as_bytes, _ROWS)
