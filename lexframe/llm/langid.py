@@ -10,9 +10,9 @@ the landmarks' own kernel matrix, are its features. One ridge regression for eac
 fitted on these. All steps of a prediction are folded into one matrix, so that a batch of texts
 is scored by two matrix products.
 
-The fit takes at most `FIT_ROWS` labelled texts, chosen by a hash of the id, of which only the
-mean presences (8 KB each before packing) reach the driver; `LANDMARKS` of them are landmarks, dealt to the
-languages in turn. Documents with crc32(id) mod 4 = 2 are held out.
+The fit takes at most `FIT_ROWS` labelled texts, drawn from the languages in turn by a hash of the id. Their
+mean presences (8 KB each before packing) meet in one task, which sends the model (4 MB) to the driver;
+`LANDMARKS` of them are landmarks, dealt to the languages in turn. Documents with crc32(id) mod 4 = 2 are held out.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled
 text every document is `und`; repeated rows are judged alike; a null id is not held out and takes no part
@@ -21,12 +21,13 @@ in the fit; an empty table gives no rows; other columns are ignored, and kept by
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.llm.base import register, table
@@ -34,6 +35,8 @@ from lexframe.llm.base import register, table
 BINS, LENGTHS, PIECE = 4096, 4, 4096
 FIT_ROWS, LANDMARKS, RIDGE = 4_000, 256, 1e-2
 UNKNOWN = "und"
+#: Parts of a language that are drawn from side by side.
+PARTS = 64
 #: Texts scored at a time: 16 MB of presence values at most.
 BATCH = 1024
 
@@ -106,25 +109,39 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, limit: int = FIT_ROWS) -> Model | None:
-    """A model of at most `limit` labelled texts that are not held out; None without any."""
+def _packed(batches):
+    for batch in batches:
+        rows = [(lang, text) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(text)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([zlib.compress(presence(r[1]).astype(np.float16).tobytes(), 1) for r in rows], pa.binary())],
+            ["lang", "packed"],
+        )
+
 
-    def packed(batches):
-        for batch in batches:
-            rows = [(lang, text) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(text)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([zlib.compress(presence(r[1]).astype(np.float16).tobytes(), 1) for r in rows], pa.binary())],
-                ["lang", "packed"],
-            )
+def _fitted(batches):
+    """The model of all rows of the task, in order, as one pickled row."""
+    found = sorted((lang, packed) for batch in batches for lang, packed in zip(batch.column("lang").to_pylist(), batch.column("packed").to_pylist(), strict=True))
+    if found:
+        x = np.empty((len(found), BINS), np.float32)
+        for row, (_, packed) in zip(x, found, strict=True):
+            row[:] = np.frombuffer(zlib.decompress(packed), np.float16)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, [lang for lang, _ in found]))], pa.binary())], ["model"])
 
+
+def fit_languages(docs: DataFrame, limit: int = FIT_ROWS) -> Model | None:
+    """A model of at most `limit` labelled texts that are not held out; None without any. The texts are
+    drawn from the languages in turn, and of repeated rows one; one task fits them."""
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).select("doc_id").distinct()
-    texts = known.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")
-    found = sorted((r["lang"], bytes(r["packed"])) for r in texts.select("lang", "text").mapInArrow(packed, "lang string, packed binary").limit(2 * limit).collect())
-    if not found:
-        return None
-    x = np.stack([np.frombuffer(zlib.decompress(b), np.float16) for _, b in found]).astype(np.float32)
-    return fit(x, [lang for lang, _ in found])
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    keys, order = ["doc_id", "lang", "key"], [F.xxhash64("doc_id"), "doc_id", "key"]
+    # A language may have most rows: it is drawn from in parts.
+    parts = known.select(*keys, F.pmod(F.xxhash64("key", "doc_id"), F.lit(PARTS)).alias("part"))
+    turn = F.dense_rank().over(Window.partitionBy("lang", "part").orderBy(*order))
+    drawn = parts.withColumn("turn", turn).where(F.col("turn") <= limit // PARTS + 1).distinct()
+    chosen = drawn.orderBy("turn", "part", "lang").limit(limit)
+    texts = known.join(chosen.select(*keys), keys, "left_semi").dropDuplicates(keys)
+    found = texts.select("lang", "text").mapInArrow(_packed, "lang string, packed binary").repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def with_language(rows: DataFrame, model: Model | None) -> DataFrame:
