@@ -35,7 +35,8 @@ from lexframe.llm.base import cut_lineage, register, table, whole
 from lexframe.llm.graph import components
 from lexframe.llm.words import mixed, shingle_set
 
-WIDTH, SIMILARITY = 4, 80
+#: Words of a shingle in the query and in the pipeline; hundredths of similarity that link.
+WIDTH, STAGE_WIDTH, SIMILARITY = 4, 5, 80
 TREES, DEPTH, LEAF, PLACES = 12, 4, 512, 128
 #: Signature share that a pair needs to be tested on; five standard deviations below the threshold.
 LIKELY = 0.62
@@ -138,6 +139,33 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _shared_paths(batches):
+    """(path, node, least, large): the nodes on paths that have several. A path is large from `LEAF` + 1 nodes on, of
+    which no more are held; `least` is its first node. Rows come sorted by path and node."""
+    held, path, least, n = [], None, 0, 0
+    for batch in batches:
+        paths, nodes = np.asarray(batch.column("path"), np.int64), np.asarray(batch.column("node"), np.int64)
+        out: list[tuple] = []
+        for p, node in zip(paths.tolist(), nodes.tolist(), strict=True):
+            if p != path:
+                if 1 < n <= LEAF:
+                    out += [(path, x, least, False) for x in held]
+                held, path, least, n = [], p, node, 0
+            n += 1
+            if n <= LEAF:
+                held.append(node)
+            else:
+                out += [(p, x, least, True) for x in (*held, node)]
+                held = []
+        yield _path_rows(out)
+    yield _path_rows([(path, x, least, False) for x in held] if 1 < n <= LEAF else [])
+
+
+def _path_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "node", "least", "large"])
+
+
 def _leaf_links(batches):
     """Candidate links inside each leaf, which has at most `LEAF` rows."""
     found = []
@@ -187,26 +215,25 @@ def _key():
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """(a, b): links that the trees propose, as forests. `nodes` has node, n_shingles and sig."""
-    links, level = [], nodes.select("node", "sig").mapInArrow(_paths(True), "path long, node long")
-    short = cut_lineage(nodes.select("node", "n_shingles", F.concat(*[F.substring("sig", 4 * i + 1, 1) for i in range(PLACES)]).alias("short")), "short")
+    level, found = nodes.select("node", "sig").mapInArrow(_paths(True), "path long, node long"), []
     for depth in range(1, DEPTH + 1):
-        level = cut_lineage(level, "paths")
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-        shared = cut_lineage(level.join(counts, "path"), "shared")
-        leaves = shared.where(F.col("n") <= LEAF).select("path", "node").join(short, "node")
-        leaves = leaves.repartition("path").sortWithinPartitions("path")
-        links.append(cut_lineage(leaves.mapInArrow(_leaf_links, "a long, b long").distinct(), "links"))
-        large = shared.where(F.col("n") > LEAF)
-        if large.isEmpty():
+        rows = level.repartition("path").sortWithinPartitions("path", "node")
+        rows = cut_lineage(rows.mapInArrow(_shared_paths, "path long, node long, least long, large boolean"), "shared")
+        found.append(rows)
+        large = rows.where("large")
+        if depth == DEPTH or large.isEmpty():
             break
-        if depth == DEPTH:
-            links.append(large.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-        else:
-            level = large.select("path", "node").join(nodes.select("node", "sig"), "node").mapInArrow(_paths(False), "path long, node long")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        level = large.select("path", "node").join(nodes.select("node", "sig"), "node").mapInArrow(_paths(False), "path long, node long")
+    rows = found[0].where("NOT large")
+    for more in found[1:]:
+        rows = rows.unionByName(more.where("NOT large"))
+    short = nodes.select("node", "n_shingles", F.concat(*[F.substring("sig", 4 * i + 1, 1) for i in range(PLACES)]).alias("short"))
+    # Both sides grow with the corpus; neither is ever broadcast.
+    leaves = rows.select("path", "node").join(short.hint("merge"), "node").repartition("path").sortWithinPartitions("path", "node")
+    links = leaves.mapInArrow(_leaf_links, "a long, b long")
+    if len(found) == DEPTH:
+        links = links.unionByName(found[-1].where("large").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    return links
 
 
 def confirmed_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
@@ -215,11 +242,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width:
     roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
-    chosen = nodes.join(roots, "node").select("node", "root", "rep.*", "n_shingles")
+    chosen = nodes.join(roots, "node").select("node", "root", "rep.id", "rep.key", "n_shingles")
     weight = chosen.groupBy("root").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + PLACES * 4) / BLOCK_BYTES).alias("blocks"))
     chosen = cut_lineage(chosen.join(weight, "root").drop("n_shingles"), "chosen")
     texts = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), _key().alias("key"), F.col("text").cast("binary").alias("text"))
-    # Both sides grow with the corpus; neither is ever broadcast.
+    # Of repeated rows one is read. Both sides grow with the corpus; neither is ever broadcast.
+    texts = texts.dropDuplicates(["id", "key"])
     rows = texts.join(chosen.hint("merge"), ["id", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "text")
@@ -227,11 +255,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width:
     return rows.mapInArrow(_exact_links(width), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key (a hash of the text), n_shingles, node (null: empty set), group, component_id."""
+def _grouped(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets as (doc_id, key, n_shingles, node), where an empty set has no node, and the nodes as (node, group,
+    rep, least): the first document of each node and its least id."""
     rows = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), F.col("text").cast("binary").alias("text"))
     rows = cut_lineage(rows.mapInArrow(_sets(width), "doc_id long, key long, n_shingles long, node long, sig binary"), "sets")
-    rep = F.struct(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "key")
+    rep = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "key")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("doc_id").alias("least")
     )
@@ -239,19 +268,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     links = components(confirmed_links(docs, nodes, candidate_links(nodes), width))
     group = F.coalesce("b", "node").alias("group")
-    grouped = cut_lineage(nodes.join(links, F.col("node") == F.col("a"), "left").select("node", group, "least"), "grouped")
+    return rows.drop("sig"), nodes.join(links, F.col("node") == F.col("a"), "left").select("node", group, "rep", "least")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, node (null: empty set), group, component_id."""
+    rows, grouped = _grouped(docs, width)
+    grouped = cut_lineage(grouped.drop("rep"), "grouped")
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     found = grouped.select("node", "group").join(least, "group")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.drop("sig").join(found, "node", "left").select("doc_id", "key", "n_shingles", "node", "group", own.alias("component_id"))
+    return rows.join(found, "node", "left").select("doc_id", "key", "n_shingles", "node", "group", own.alias("component_id"))
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, that of the smallest id. Of repeated rows one stays;
-    documents without words stay all."""
-    found = cut_lineage(near_duplicates(docs), "groups")
-    chosen = found.where("node IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("rep"))
-    chosen = chosen.select(F.coalesce("rep.doc_id", F.lit(-1 << 63)).alias("__id"), F.col("rep.key").alias("__key"))
+    """Pipeline stage: one document of each group, that of the smallest id, by shingles of five words. Of repeated rows
+    one stays; documents without words stay all."""
+    _, grouped = _grouped(docs, STAGE_WIDTH)
+    chosen = grouped.groupBy("group").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__id"), F.col("rep.key").alias("__key"))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     has_word = F.regexp_like(whole("text"), F.lit(r"[^\x20\x09-\x0D]"))
     rows = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), _key().alias("__key"), has_word.alias("__words"))
