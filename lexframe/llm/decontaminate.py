@@ -2,11 +2,11 @@
 
 Items and documents become words: A-Z lower-cased, anything of digits, letters and characters
 above ASCII is a word. A window is ten consecutive words of an item; an item of fewer words is
-one window. The hashes of all windows go with the plan to every scan, which hashes each window
-of each document and keeps the places whose hash is known; the words there are then compared
-with the window's own. That set is only sent when the windows are counted and at most
-`SET_LIMIT`; a larger benchmark is joined on the window's text by a shuffle, with the same
-result.
+one window. The 64-bit hashes of all windows go with the plan to every scan while they are counted and at
+most `SENT`: each window of each document is looked up there, and the words at the places found are
+compared with the window's own. A larger set is the other side of a join with every window of
+every document as a hash and a place; these longs are shuffled, no text is, and only documents with
+a known hash are read again to compare the words.
 
 Defined cases: a null text has no words and no hits; an item without words has no window; items
 with one text are all found; an item without id is hit but not listed; repeated rows are judged
@@ -15,20 +15,16 @@ alike; an empty benchmark hits nothing; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexframe.llm.base import cut_lineage, register, table, whole
 
-#: Words of a window, and windows that are sent to every task at most (about 4 MB).
-WINDOW, SET_LIMIT = 10, 50_000
+#: Words of a window, and hashes that are sent to every task at most (4 MB).
+WINDOW, SENT = 10, 50_000
 
 _BREAK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HITS = "array<struct<pos:int,len:int,text:string>>"
-
 
 def words_of(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"[^{_BREAK}]+"), F.lit(0))
@@ -47,50 +43,69 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 class Windows:
-    """The windows of a benchmark, written once, and whether they are few enough to be sent."""
-
-    def __init__(self, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT):
-        self.table = cut_lineage(item_windows(benchmark, width), "windows")
-        self.lengths = sorted(r["len"] for r in self.table.select("len").distinct().collect())
-        self.sent = self.table.count() <= limit
-        self.known: dict[int, tuple[list[int], list[int]]] = {}
-        if self.sent:
-            hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
-            rows = self.table.select("len", hashes.alias("h")).select("len", F.col("h")[0].alias("first"), F.xxhash64("h").alias("all")).collect()
-            for n in self.lengths:
-                own = [r for r in rows if r["len"] == n]
-                self.known[n] = sorted({r["first"] for r in own}), sorted({r["all"] for r in own})
-
-
-def _known(values: list[int], what: str) -> str:
-    return f"{what} IN ({','.join(f'{v}L' if v > -(2**63) else 'bigint(-9223372036854775808)' for v in values)})"
+    """The windows of a benchmark, written once with their hashes and those of their first words, and the hashes to
+    send if they are few enough."""
+
+    def __init__(self, benchmark: DataFrame, width: int = WINDOW, sent: int = SENT):
+        hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+        rows = item_windows(benchmark, width).withColumn("h", hashes).select("*", F.xxhash64("h").alias("hash"), F.col("h")[0].alias("first"))
+        self.table = cut_lineage(rows.drop("h"), "windows")
+        counts = self.table.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()
+        self.lengths = sorted(r["len"] for r in counts)
+        self.known: dict[int, tuple[list[int], list[int]]] | None = None
+        if sum(r["n"] for r in counts) <= sent:
+            found = self.table.select("len", "first", "hash").collect()
+            self.known = {n: tuple(sorted({r[c] for r in found if r["len"] == n}) for c in ("first", "hash")) for n in self.lengths}
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents as structs `__row` with the key (__id, __key) of id and text."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), F.md5(whole("text").cast("binary")).alias("__key")]
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), *key, whole("text").alias("__text"))
 
 
-def _places(windows: Windows, n: int) -> Column:
-    """Windows of n words in `words` (with their hashes `h`) that may be known."""
-    every = f"CASE WHEN size(h) >= {n} THEN sequence(0, size(h) - {n}) ELSE cast(array() AS array<int>) END"
-    if windows.sent:
-        first, all_words = windows.known[n]
-        every = f"filter({every}, i -> {_known(first, 'h[i]')} AND {_known(all_words, f'xxhash64(slice(h, i + 1, {n}))')})"
-    return F.expr(f"transform({every}, i -> struct(i AS pos, {n} AS len, concat_ws(' ', slice(words, i + 1, {n})) AS text))").cast(_HITS)
+def _in(values: list[int], what: str) -> str:
+    return f"{what} IN ({','.join(f'{v}L' if v > -(2**63) else 'bigint(-9223372036854775808)' for v in values)})"
 
 
-def with_candidates(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Adds n_words and `hits`, the places whose hash is known (all places if none were sent)."""
-    own = [c for c in docs.columns if c not in ("words", "h", "hits", "n_words")]
-    # `inline` keeps the optimizer from putting the arrays' making into every place that reads them.
-    rows = docs.select(*own, F.inline(F.array(F.struct(words_of(whole("text")).alias("words")))))
-    rows = rows.select(*own, "words", F.inline(F.array(F.struct(F.transform("words", lambda w: F.xxhash64(w)).alias("h")))))
-    found = [_places(windows, n) for n in windows.lengths]
-    hits = reduce(F.concat, found) if found else F.array().cast(_HITS)
-    return rows.select(*own, F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+_WORDS_AT = "CASE WHEN size(h) >= {n} THEN sequence(0, size(h) - {n}) ELSE cast(array() AS array<int>) END"
 
 
-def verified(candidates: DataFrame, windows: Windows) -> DataFrame:
-    """(row_id, pos, len, items): candidate places whose words are a window's words."""
-    places = candidates.select("row_id", F.explode("hits").alias("hit")).select("row_id", "hit.*")
-    known = F.broadcast(windows.table) if windows.sent else windows.table
-    return places.join(known, ["len", "text"]).select("row_id", "pos", "len", "items")
+def _looked_up(rows: DataFrame, windows: Windows) -> DataFrame:
+    """(__id, __key, pos, len, items) by the hashes sent to every scan."""
+    # `inline` keeps the optimizer from putting the arrays' making into every place that reads them.
+    rows = rows.select("__id", "__key", F.inline(F.array(F.struct(words_of(F.col("__text")).alias("words")))))
+    rows = rows.select("__id", "__key", "words", F.inline(F.array(F.struct(F.transform("words", lambda w: F.xxhash64(w)).alias("h")))))
+    every = []
+    for n, (first, hashes) in windows.known.items():
+        likely = f"filter({_WORDS_AT.format(n=n)}, i -> {_in(first, 'h[i]')} AND {_in(hashes, f'xxhash64(slice(h, i + 1, {n}))')})"
+        every.append(f"transform({likely}, i -> struct(i AS pos, {n} AS len, concat_ws(' ', slice(words, i + 1, {n})) AS text))")
+    found = rows.select("__id", "__key", F.expr(f"inline(concat({', '.join(every)}))"))
+    # Only places with a known hash leave the scan; the windows are few here.
+    return cut_lineage(found, "likely").join(F.broadcast(windows.table), ["len", "text"]).select("__id", "__key", "pos", "len", "items")
+
+
+def _joined(rows: DataFrame, windows: Windows) -> DataFrame:
+    """The same by a join of the hashes of all windows of all documents."""
+    hashes = F.transform(words_of(F.col("__text")), lambda w: F.xxhash64(w))
+    at = _WORDS_AT + ", i -> struct(i AS pos, {n} AS len, xxhash64(slice(h, i + 1, {n})) AS hash"
+    every = ", ".join(f"transform({at.format(n=n)}))" for n in windows.lengths)
+    places = rows.select("__id", "__key", F.inline(F.array(F.struct(hashes.alias("h"))))).select("__id", "__key", F.expr(f"inline(concat({every}))"))
+    likely = places.join(windows.table, ["len", "hash"]).groupBy("__id", "__key").agg(F.collect_set(F.struct("pos", "len", "text", "items")).alias("likely"))
+    again = rows.select("__id", "__key", "__text").join(cut_lineage(likely, "likely"), ["__id", "__key"])
+    again = again.select("__id", "__key", "likely", F.inline(F.array(F.struct(words_of(F.col("__text")).alias("words")))))
+    same = lambda x: F.concat_ws(" ", F.slice("words", x["pos"] + 1, x["len"])) == x["text"]
+    return again.select("__id", "__key", F.inline(F.filter("likely", same))).select("__id", "__key", "pos", "len", "items")
+
+
+def found_places(rows: DataFrame, windows: Windows) -> DataFrame:
+    """(__id, __key, places): the places of windows in keyed documents, with their items. Only documents with any."""
+    if not windows.lengths:
+        none = "array<struct<pos:int,len:int,items:array<string>>>"
+        return rows.where("false").select("__id", "__key", F.array().cast(none).alias("places"))
+    found = _joined(rows, windows) if windows.known is None else _looked_up(rows, windows)
+    places = F.array_sort(F.collect_set(F.struct("pos", "len", "items")))
+    return found.groupBy("__id", "__key").agg(places.alias("places"))
 
 
 def _covered(places: str) -> Column:
@@ -101,51 +116,37 @@ def _covered(places: str) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sent: int = SENT) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    windows = Windows(benchmark, width, limit)
-    rows = with_candidates(docs.select("doc_id", "text"), windows).drop("text")
-    rows = cut_lineage(rows.withColumn("row_id", F.monotonically_increasing_id()), "candidates")
-    found = verified(rows, windows).groupBy("row_id").agg(
-        F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("places"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
-    )
-    found = found.select("row_id", _covered("places").alias("n_hit"), "ids")
+    rows = keyed(docs.select("doc_id", "text"))
+    found = found_places(rows, Windows(benchmark, width, sent))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda x: x["items"]))))
+    found = found.select("__id", "__key", _covered("places").alias("n_hit"), ids.alias("ids"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.select("row_id", "doc_id", "n_words").join(found, "row_id", "left").select(
+    n_words = F.regexp_count("__text", F.lit(f"[^{_BREAK}]+")).cast("long").alias("n_words")
+    rows = rows.select(F.col("__row.doc_id").alias("doc_id"), "__id", "__key", n_words)
+    return rows.join(found, ["__id", "__key"], "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
-def _with_hits(docs: DataFrame, windows: Windows, only: str = "left") -> DataFrame:
-    """The documents with `hits`, the places of true windows; with `only` left_anti, those without any. The
-    candidates are written first, so that the known hashes stand in one narrow plan."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), F.md5(whole("text").cast("binary")).alias("__key")]
-    places = with_candidates(docs.select(F.struct(*key).alias("row_id"), "text"), windows).select("row_id", "hits")
-    places = cut_lineage(places.where(F.size("hits") > 0), "candidates")
-    found = verified(places, windows).groupBy("row_id").agg(F.collect_set(F.struct("pos", "len", F.lit("").alias("text"))).alias("hits"))
-    found = found.select("row_id.*", "hits")
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *key)
-    if only == "left_anti":
-        return keyed.join(found, ["__id", "__key"], "left_anti").select("__row.*")
-    joined = keyed.join(found, ["__id", "__key"], "left")
-    return joined.select("__row.*", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sent: int = SENT) -> DataFrame:
     """The documents without a window of the benchmark, whole and unchanged."""
-    return _with_hits(docs, Windows(benchmark, width, limit), "left_anti")
+    rows = keyed(docs)
+    found = found_places(rows, Windows(benchmark, width, sent)).select("__id", "__key")
+    return rows.join(cut_lineage(found, "found"), ["__id", "__key"], "left_anti").select("__row.*")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = SET_LIMIT) -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sent: int = SENT) -> DataFrame:
     """All documents, with the words under a window removed from the text."""
-    rows = _with_hits(docs, Windows(benchmark, width, limit))
+    rows = keyed(docs)
+    rows = rows.join(found_places(rows, Windows(benchmark, width, sent)), ["__id", "__key"], "left").select("__row.*", F.col("places").alias("__places"))
     pieces = F.regexp_extract_all("text", F.lit(f"[{_BREAK}]*[^{_BREAK}]+|[{_BREAK}]+$"), F.lit(0))
     rows = rows.withColumn("__pieces", pieces)
-    kept = F.filter("__pieces", lambda piece, i: ~F.exists("hits", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["len"])))
-    rows = rows.withColumn("text", F.when(F.size("hits") > 0, F.concat_ws("", kept)).otherwise(F.col("text")))
+    kept = F.filter("__pieces", lambda piece, i: ~F.exists("__places", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["len"])))
+    rows = rows.withColumn("text", F.when(F.col("__places").isNotNull(), F.concat_ws("", kept)).otherwise(F.col("text")))
     return rows.select(*docs.columns)
 
 
