@@ -25,7 +25,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -45,7 +44,6 @@ FEW = 8
 _ANCHORS = "id long, key long, gram long, block long, pos long, before int, after int"
 
 
-@lru_cache(maxsize=2)
 def _back(n: int) -> np.ndarray:
     return powers(room(n))[1]
 

@@ -11,6 +11,8 @@ import numpy as np
 _MASK = (1 << 64) - 1
 #: Any odd numbers do; these are the first digits of constants.
 _BASE, _MIX, _SEED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 20_240_229
+#: Powers kept between texts (2 MB).
+KEPT = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256)
@@ -24,10 +26,18 @@ def byte_values(fold: bool) -> np.ndarray:
     return values[_FOLD] if fold else values
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """Powers of the base and of its inverse modulo 2^64. Those for a usual text are kept; those for a very long one
+    are made anew, so that no task holds on to them."""
+    return _kept_powers(KEPT) if n <= KEPT else _powers(n)
+
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(x: int) -> np.ndarray:
         steps = np.full(n, x, np.uint64)
         steps[0] = 1
