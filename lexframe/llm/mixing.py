@@ -6,6 +6,10 @@ divided by the source's target. All copies that start before their source's targ
 one global order of finish times and taken until the total budget is used. Copies that finish
 within their target always fit; of those that straddle it, the first in the order do.
 
+Repeated rows share a place in the order and are counted there. Those of a place that finish within the
+target stand in the global order as one entry, a straddling one as its own, so that as many of them are
+taken as fit; which ones is the same.
+
 Running sums are never taken in one task: a source is cut into parts by its shuffle hash, the
 global order into ranges of finish times; sums of parts give the offsets.
 
@@ -13,7 +17,7 @@ What is taken of a source is a prefix of its order. One cut for each source ther
 for whole documents, and no text is shuffled.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-repeated rows share a place in the order and are taken alike; an empty table gives no rows; a
+repeated rows follow one another in the order; an empty table gives no rows; a
 source without words has target 0; other columns are left alone.
 """
 
@@ -27,8 +31,8 @@ from lexframe.llm.base import WORD, cut_lineage, register, table, whole
 WEIGHTS = (3, 1, 2)
 #: Words to take for each word there is, as a fraction, and rounds over a source at most.
 SHARE, ROUNDS = (3, 2), 2
-#: Ranges of finish times below the budget.
-RANGES = 4096
+#: Ranges of finish times below the budget; parts in which equal rows are numbered.
+RANGES, PARTS = 4096, 64
 
 
 def size_of() -> Column:
@@ -83,52 +87,72 @@ def _offsets(rows: DataFrame, by: list[str], part: str, value: str) -> DataFrame
 
 
 def source_cuts(narrow: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(source, last): the last copy taken of each source, as (round, place)."""
-    rows = narrow.join(targets.select(F.col("source").alias("__s"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("__s")))
-    rows = rows.select("rank", "source_size", "target", "size", "place").where("target > 0")
-    rows = rows.withColumn("part", F.substring("place", 1, 3))
-    own = Window.partitionBy("rank", "part").orderBy("place")  # repeated rows have one sum
-    rows = rows.withColumn("inner", F.sum("size").over(own)).withColumn("tied", F.sum("size").over(Window.partitionBy("rank", "part", "place")))
-    rows = rows.join(_offsets(rows, ["rank"], "part", "size"), ["rank", "part"])
+    """(source, source_size, target, last): what is taken of each source last, as (round, place, rows, of): so many
+    of the equal rows there are."""
+    named = targets.select(F.col("source").alias("__s"), "rank", "source_size", "target").where("target > 0")
+    rows = narrow.groupBy("source", "place", "size").agg(F.count(F.lit(1)).alias("of"))
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("source", "__s")
+    rows = rows.withColumn("part", F.substring("place", 1, 3)).withColumn("sum", F.col("size") * F.col("of"))
+    own = Window.partitionBy("rank", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("sum").over(own), F.lit(0)))
+    rows = rows.join(_offsets(rows, ["rank"], "part", "sum"), ["rank", "part"])
     copies = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    end = F.col("__before") + F.col("inner") + F.col("round") * F.col("source_size")
-    copies = copies.withColumn("end", end).where(F.col("end") - F.col("tied") < F.col("target"))
-    copies = copies.withColumn("finish", F.col("end") / F.col("target"))
+    copies = copies.withColumn("start", F.col("__before") + F.col("inner") + F.col("round") * F.col("source_size"))
+    # So many of the equal rows finish within the target; the next one may straddle it.
+    room = F.floor((F.col("target") - F.col("start")) / F.greatest("size", F.lit(1)))
+    copies = copies.where(F.col("start") < F.col("target")).withColumn("within", F.least("of", room))
+    end = lambda n: (F.col("start") + F.col("size") * n) / F.col("target")
+    entry = lambda n, before: F.struct(n.alias("rows"), ((n - before) * F.col("size")).alias("words"), end(n).alias("finish"))
+    entries = F.array(entry(F.col("within"), F.lit(0)), entry(F.least(F.col("within") + 1, "of"), F.col("within")))
+    copies = copies.select("rank", "place", "round", "of", F.inline(F.filter(entries, lambda x: (x["words"] > 0) | (F.col("size") == 0))))
     copies = copies.withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(RANGES)))
-    copies = copies.select("rank", "size", "place", "round", "finish", "range")
-    everywhere = Window.partitionBy("range").orderBy("finish", "rank", "round", "place")
-    copies = copies.withColumn("__all", F.lit(0)).withColumn("sum", F.sum("size").over(everywhere))
-    copies = copies.join(_offsets(copies, ["__all"], "range", "size"), ["__all", "range"])
-    budget = targets.agg(F.sum("target").alias("budget"))
-    taken = copies.join(F.broadcast(budget)).where(F.col("__before") + F.col("sum") <= F.col("budget") + 0.5)
-    lasts = taken.groupBy("rank").agg(F.max(F.struct("round", "place")).alias("last"))
+    everywhere = Window.partitionBy("range").orderBy("finish", "rank", "round", "place", "rows")
+    copies = copies.withColumn("__all", F.lit(0)).withColumn("upto", F.sum("words").over(everywhere))
+    copies = copies.join(_offsets(copies, ["__all"], "range", "words"), ["__all", "range"])
+    budget = targets.agg(F.sum("target")).scalar()
+    taken = copies.where(F.col("__before") + F.col("upto") <= budget + 0.5)
+    lasts = taken.groupBy("rank").agg(F.max(F.struct("round", "place", "rows", "of")).alias("last"))
     return targets.join(lasts, "rank", "left").select("source", "source_size", "target", "last")
 
 
 def with_taken(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds how often (`times`) each document is taken. `docs` has size and place."""
-    whole_rounds = F.coalesce(F.col("last.round"), F.lit(0))
-    times = whole_rounds + F.coalesce((F.col("place") <= F.col("last.place")).cast("int"), F.lit(0))
+    """Adds how often (`times`) each document is taken. `docs` has source and place. At a source's last place, of which
+    not all rows may be taken, equal rows are numbered in parts."""
     cuts = cuts.withColumnRenamed("source", "__cut_source")
-    return docs.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").withColumn("times", times).drop("__cut_source", "last")
+    rows = docs.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    here = F.coalesce(F.col("place") == F.col("last.place"), F.lit(False))
+    split = here & (F.col("last.rows") < F.col("last.of"))
+    full = F.coalesce(F.col("last.round"), F.lit(0))
+    clear = rows.where(~split).withColumn("times", full + F.coalesce((F.col("place") <= F.col("last.place")).cast("int"), F.lit(0)))
+    tied = cut_lineage(rows.where(split).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "tied")
+    ahead = _offsets(tied.withColumn("__one", F.lit(1)), ["place"], "__part", "__one")
+    number = F.row_number().over(Window.partitionBy("place", "__part").orderBy(F.lit(0))) + F.col("__before")
+    tied = tied.join(ahead, ["place", "__part"]).withColumn("__number", number)
+    tied = tied.withColumn("times", full + (F.col("__number") <= F.col("last.rows")).cast("int"))
+    return clear.unionByName(tied.drop("__part", "__before", "__number")).drop("last")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return cut_lineage(docs.select("doc_id", "source", size_of().alias("size"), place_of().alias("place")), "mixing")
+
+
+def _cuts(narrow: DataFrame) -> DataFrame:
+    targets = cut_lineage(source_targets(narrow), "targets")
+    return cut_lineage(source_cuts(narrow, targets), "cuts")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
-    narrow = cut_lineage(docs.select("doc_id", "source", size_of().alias("size"), place_of().alias("place")), "mixing")
-    cuts = source_cuts(narrow, source_targets(narrow))
-    return with_taken(narrow, cuts).select(
+    narrow = _narrow(docs)
+    return with_taken(narrow, _cuts(narrow)).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "source"
     )
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    own = [F.col(c) for c in docs.columns]
-    narrow = cut_lineage(docs.select("doc_id", "source", size_of().alias("size"), place_of().alias("place")), "mixing")
-    cuts = cut_lineage(source_cuts(narrow, source_targets(narrow)), "cuts")
-    row = F.struct(*own).alias("__row")
-    rows = docs.select(row, "source", place_of().alias("place"))
+    cuts = _cuts(_narrow(docs))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), "source", place_of().alias("place"))
     rows = with_taken(rows, cuts).where("times > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return rows.select("__row.*")

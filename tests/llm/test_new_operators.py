@@ -29,11 +29,11 @@ def words(draw, n, pool=4000):
 # Near duplicates
 
 
-def true_components(rows):
+def true_components(rows, width=4):
     sets = {}
     for i, t in rows:
         w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def root(i):
@@ -76,7 +76,7 @@ def test_near_duplicates_match_brute_force(spark, copies, monkeypatch, leaf, blo
 def test_near_dedup_stage_keeps_one_of_each_group(spark, copies):
     docs = docs_of(spark, copies + copies[6:8])
     kept = neardup.near_dedup_stage(spark, docs, "")
-    true = true_components(copies)
+    true = true_components(copies, 5)
     want = sorted([i for i, (n, c) in true.items() if n and i == c] + [0, 1, 2])
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == want
@@ -311,3 +311,19 @@ def test_pipeline_stages(spark, tmp_path):
 def test_hash_of_kept_bytes(spark):
     found = suffixes.remove_repeats(docs_of(spark, [(1, "abc")])).first()
     assert hashlib.sha256(bytes(found.kept)).hexdigest() == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_mixing_takes_some_of_many_equal_rows(spark):
+    rows = [(7, "w " * 20, "en", "a", 0, "x", "y")] * 400 + [(100 + i, "v " * 20, "en", "a", 0, "x", "y") for i in range(300)]
+    rows += [(900 + i, "u " * 10, "en", s, 0, "x", "y") for i in range(150) for s in ("b", None)] + [(None, None, None, "a", 0, "x", "y")] * 3
+    found = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(found) == len(rows)
+    for source in ("a", "b", None):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 20
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
+    stage = mixing.mix_stage(spark, spark.createDataFrame(rows, DOCS), "").groupBy("source").count().collect()
+    words = {"a": 20, "b": 10, None: 10}
+    taken = {s: sum(r.taken for r in found if r.source == s) // w for s, w in words.items()}
+    assert {r[0]: r[1] for r in stage if r[0] != "a"} == {s: n for s, n in taken.items() if s != "a"}
+    assert mixing.mix(spark.createDataFrame([], DOCS)).collect() == []
