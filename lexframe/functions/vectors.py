@@ -179,20 +179,8 @@ def _schema(corpus, questions, d_key, q_key):
     return f"{q_key} {q_type}, {d_key} {d_type}, score double"
 
 
-def dense_topk(
-    corpus: DataFrame,
-    questions: DataFrame,
-    k: int,
-    d_key: str = "doc_id",
-    q_key: str = "question_id",
-    vector: str = "vector",
-    block_rows: int = 20_000,
-    chunk_rows: int = 256,
-) -> DataFrame:
-    """Exact cosine top-k per question. Each task multiplies one corpus block with one
-    question chunk and emits at most k rows per question."""
-
-    schema = _schema(corpus, questions, d_key, q_key)
+def dense_scorer(k: int, d_key: str, q_key: str, vector: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores one block of the corpus against one chunk of questions."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         types = [right.schema.field(q_key).type, left.schema.field(d_key).type, pa.float64()]
@@ -212,6 +200,24 @@ def dense_topk(
             right[q_key].to_numpy(), left[d_key].to_numpy(), s, k, [q_key, d_key, "score"], types
         )
 
+    return score
+
+
+def dense_topk(
+    corpus: DataFrame,
+    questions: DataFrame,
+    k: int,
+    d_key: str = "doc_id",
+    q_key: str = "question_id",
+    vector: str = "vector",
+    block_rows: int = 20_000,
+    chunk_rows: int = 256,
+) -> DataFrame:
+    """Exact cosine top-k per question. Each task multiplies one corpus block with one
+    question chunk and emits at most k rows per question."""
+
+    schema = _schema(corpus, questions, d_key, q_key)
+    score = dense_scorer(k, d_key, q_key, vector)
     c, q = _grid(
         _with_gates(corpus, CORPUS_GATES, d_key, vector),
         _with_gates(questions, QUESTION_GATES, q_key, vector),

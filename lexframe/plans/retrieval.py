@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexframe.functions import clusters as C
 from lexframe.functions import vectors as V
 from lexframe.functions import text as T
 from lexframe.operators import retrieval as R
@@ -11,6 +12,7 @@ from lexframe.operators import search as S
 from lexframe.operators.matching import passages_in_texts
 from lexframe.plans.base import Family
 from lexframe.plans.bindings import REGULATION_SQL, regulations, table
+from lexframe.session import cut_lineage
 
 family = Family()
 query = family.query
@@ -207,7 +209,7 @@ def hashed_sparse_vectors(spark, sf_dir):
     )
 
 
-@query("""
+DENSE_SQL = """
 WITH parts AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 centre AS (SELECT label AS question_id, list(m ORDER BY i) AS c FROM (
   SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM parts GROUP BY label, i) s GROUP BY label),
@@ -215,9 +217,11 @@ scored AS (SELECT question_id, vec_id, round(list_cosine_similarity(CAST(embeddi
   FROM embeddings, centre)
 SELECT question_id, vec_id, rank FROM (SELECT question_id, vec_id, row_number() OVER (
   PARTITION BY question_id ORDER BY s DESC, vec_id) AS rank FROM scored) r WHERE rank <= 10
-""")
-def dense_topk(spark, sf_dir):
-    """The ten vectors nearest to the centroid of each label, over all vectors."""
+"""
+
+
+def _vectors(spark, sf_dir):
+    """All vectors, and the centroid of each label as a question."""
     rows = table(spark, sf_dir, "embeddings")
     parts = rows.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -227,10 +231,40 @@ def dense_topk(spark, sf_dir):
         )
     )
     corpus = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    found = V.dense_topk(
-        corpus, centres.withColumnRenamed("label", "question_id"), 10, d_key="vec_id"
+    return corpus, centres.withColumnRenamed("label", "question_id")
+
+
+@query(DENSE_SQL)
+def dense_topk(spark, sf_dir):
+    """The ten vectors nearest to the centroid of each label, over all vectors."""
+    corpus, centres = _vectors(spark, sf_dir)
+    return V.dense_topk(corpus, centres, 10, d_key="vec_id").select("question_id", "vec_id", "rank")
+
+
+@query(DENSE_SQL)
+def dense_index_topk(spark, sf_dir):
+    """The same by the clustered index, which goes on until no other cell can hold a better vector."""
+    corpus, centres = _vectors(spark, sf_dir)
+    index = C.build(corpus, "vec_id")
+    return C.topk(index, centres, 10, exact=True).select("question_id", "vec_id", "rank")
+
+
+@query("SELECT vec_id AS question_id, 10 AS found, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def dense_index_recall(spark, sf_dir):
+    """Vectors as questions in the probed cells alone: how many rows each finds, and whether all together find
+    nine in ten of the true neighbours."""
+    corpus, _ = _vectors(spark, sf_dir)
+    asked = corpus.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "question_id")
+    index = C.build(corpus, "vec_id")
+    probes = C.tuned_probes(index, corpus, asked, 10)
+    near = C.topk(index, asked, 10, probes=probes).select("question_id", "vec_id")
+    true = V.dense_topk(corpus, asked, 10, d_key="vec_id").select("question_id", "vec_id", F.lit(1).alias("hit"))
+    per = near.join(true, ["question_id", "vec_id"], "left").groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("found"), F.count("hit").alias("hits")
     )
-    return found.select("question_id", "vec_id", "rank")
+    per = cut_lineage(per, "recall")
+    share = per.agg(F.sum("hits") / F.sum("found")).scalar()
+    return per.select("question_id", F.col("found").cast("int").alias("found"), (share >= 0.9).alias("enough"))
 
 
 def _postings(spark, sf_dir):
