@@ -226,24 +226,8 @@ def dense_topk(
     return _final(c.cogroup(q).applyInArrow(score, schema), q_key, d_key, k)
 
 
-def sparse_topk(
-    corpus: DataFrame,
-    questions: DataFrame,
-    k: int,
-    d_key: str = "doc_id",
-    q_key: str = "question_id",
-    term: str = "term",
-    block_rows: int = 2_000,
-    chunk_rows: int = 64,
-) -> DataFrame:
-    """Exact dot-product top-k over postings ``(key, term, weight)``.
-
-    A join on the term would emit a row for each (question, document) pair that shares a
-    frequent term; here a task builds the small (document x question-term) matrix of its
-    block and emits at most k rows per question.
-    """
-
-    schema = _schema(corpus, questions, d_key, q_key)
+def sparse_scorer(k: int, d_key: str, q_key: str, term: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the postings of one block against those of one chunk of questions."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         types = [right.schema.field(q_key).type, left.schema.field(d_key).type, pa.float64()]
@@ -269,6 +253,28 @@ def sparse_topk(
             np.asarray(q_ids), np.asarray(d_ids), s, k, [q_key, d_key, "score"], types
         )
 
+    return score
+
+
+def sparse_topk(
+    corpus: DataFrame,
+    questions: DataFrame,
+    k: int,
+    d_key: str = "doc_id",
+    q_key: str = "question_id",
+    term: str = "term",
+    block_rows: int = 2_000,
+    chunk_rows: int = 64,
+) -> DataFrame:
+    """Exact dot-product top-k over postings ``(key, term, weight)``.
+
+    A join on the term would emit a row for each (question, document) pair that shares a
+    frequent term; here a task builds the small (document x question-term) matrix of its
+    block and emits at most k rows per question.
+    """
+
+    schema = _schema(corpus, questions, d_key, q_key)
+    score = sparse_scorer(k, d_key, q_key, term)
     asked = _with_gates(questions, QUESTION_GATES, q_key, term, "weight")
     wanted = _with_gates(corpus, CORPUS_GATES, d_key, term, "weight").join(
         asked.select(term).distinct(), term, "left_semi"

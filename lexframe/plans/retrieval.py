@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexframe.functions import clusters as C
+from lexframe.functions import impact as I
 from lexframe.functions import vectors as V
 from lexframe.functions import text as T
 from lexframe.operators import retrieval as R
@@ -273,15 +274,37 @@ def _postings(spark, sf_dir):
     return docs, V.term_weights(items, "question_id", "text")
 
 
-@query(f"""
+SPARSE_SQL = f"""
 WITH {DOT_SQL} SELECT question_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (
   PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM dots) r WHERE rank <= 10
-""")
+"""
+
+
+@query(SPARSE_SQL)
 def sparse_topk(spark, sf_dir):
     docs, items = _postings(spark, sf_dir)
     return V.sparse_topk(docs, items, 10)
 
 
+@query(SPARSE_SQL)
+def sparse_pruned_topk(spark, sf_dir):
+    """The same, without scoring blocks that cannot enter the answer."""
+    docs, items = _postings(spark, sf_dir)
+    return I.pruned_topk(docs, items, 10, block_rows=50)[0]
+
+
+@query(f"""
+WITH {POSTINGS_SQL} SELECT question_id, count(*) AS postings, true AS pruned
+FROM qw q JOIN dw d ON d.term = q.term GROUP BY question_id
+""")
+def sparse_pruning(spark, sf_dir):
+    """The postings that each question shares with the corpus, and whether pruning left some unscored."""
+    docs, items = _postings(spark, sf_dir)
+    work = cut_lineage(I.pruned_topk(docs, items, 10, block_rows=50)[1], "work")
+    pruned = work.agg(F.sum("scored") < F.sum("postings")).scalar()
+    return work.select("question_id", "postings", pruned.alias("pruned"))
+
+
 # ---- fusion and rerank: three routes for every benchmark question
 
 ROUTES_SQL = f"""
