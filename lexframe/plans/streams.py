@@ -14,6 +14,7 @@ from lexframe.plans.retrieval import LIVE
 from lexframe.session import fresh_path
 from lexframe.sources import readers as Rd
 from lexframe.sources import writers as Wr
+from lexframe.streaming import deadlines as D
 from lexframe.streaming import jobs as J
 
 family = Family()
@@ -26,19 +27,29 @@ def _events(spark, sf_dir):
     return J.stream_table(spark, sf_dir, "events.parquet")
 
 
+#: Batches that a log is replayed in, each with rows up to 50 minutes late.
+BATCHES = 4
+
+
+def _growing(spark, sf_dir):
+    """The events as they would have landed, a file for each batch, and their folder."""
+    path = fresh_path(spark, "landing")
+    return J.land_in_order(table(spark, sf_dir, "events"), "ts", path, BATCHES), path
+
+
 @query("""
 SELECT DISTINCT 'https://example.org/' || event_type || '/' || user_id AS url FROM events
 WHERE 'https://example.org/' || event_type || '/' || user_id NOT IN (SELECT 'https://example.org/view/' || c_custkey FROM customer)
 """)
 def stream_dedup(spark, sf_dir):
-    """Event pages as a listing stream; the first batch holds all of them."""
-    rows = _events(spark, sf_dir).select(
+    """Event pages as a listing stream over several batches; a page listed again, hours or days later, comes once."""
+    rows = _growing(spark, sf_dir)[0].select(
         F.concat(F.lit("https://example.org/"), "event_type", F.lit("/"), "user_id").alias("url"), "ts"
     )
     known = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("https://example.org/view/"), "c_custkey").alias("url")
     )
-    return J.run(J.new_documents(rows, known, "url", "ts"), "dedup").select("url").distinct()
+    return J.run(rows, "dedup", step=J.first_listed(known, "url", "ts")).select("url")
 
 
 LIFE_SQL = """
@@ -81,24 +92,53 @@ WITH life AS (SELECT event_id, ts, event_type FROM events)
 SELECT event_id, 'downgraded' AS mark FROM life WHERE event_type IN ('signup', 'view') AND date_diff('second', ts, TIMESTAMP '2024-01-20') > 86400
 """)
 def stream_overdue(spark, sf_dir):
-    """Reviews opened by events; sign-ups and views never get a decision."""
+    """Reviews opened by events; sign-ups and views never get a decision. The mark comes from a timer, without a
+    further event."""
     kind = F.col("event_type")
-    rows = J.lifecycle(
-        _events(spark, sf_dir), "event_id", "ts", F.lit(True), kind.isin("click", "purchase", "error")
-    )
-    done = J.newest(J.run(rows, "overdue", "update"), ["event_id"])
-    marked = J.sla(done, 24, F.lit("2024-01-20").cast("timestamp_ntz")).filter(F.col("state") == "overdue")
-    return marked.select("event_id", F.lit("downgraded").alias("mark"))
+    stream = _growing(spark, sf_dir)[0]
+    marks = D.marks(stream, "event_id", "ts", F.lit(True), kind.isin("click", "purchase", "error"), 24)
+    done = J.run(marks, "overdue", settings=D.STORE_CHOICE).filter(F.col("state") == "overdue")
+    due = F.col("opened_at") + F.expr("INTERVAL 24 HOURS")
+    return done.filter(due < F.lit("2024-01-20").cast("timestamp")).select("event_id", F.lit("downgraded").alias("mark"))
+
+
+@query("""
+WITH RECURSIVE ev AS (SELECT user_id, ts, event_type = 'signup' AS o FROM events WHERE event_type IN ('signup', 'purchase')),
+raw AS (
+  SELECT user_id, min(ts) AS opened_at FROM ev WHERE o GROUP BY user_id
+  UNION ALL
+  SELECT user_id, min(ts) AS opened_at FROM (
+    SELECT r.user_id, ev.ts, r.opened_at,
+      (SELECT min(c.ts) FROM ev c WHERE c.user_id = r.user_id AND NOT c.o AND c.ts >= r.opened_at AND c.ts <= r.opened_at + INTERVAL 24 HOURS) AS closed_at
+    FROM raw r JOIN ev ON ev.user_id = r.user_id AND ev.o) s
+  WHERE ts > coalesce(closed_at, opened_at + INTERVAL 24 HOURS) GROUP BY user_id
+)
+SELECT user_id, opened_at, CASE WHEN EXISTS (SELECT 1 FROM ev c WHERE c.user_id = r.user_id AND NOT c.o AND c.ts >= r.opened_at
+  AND c.ts <= r.opened_at + INTERVAL 24 HOURS) THEN 'in_time' ELSE 'overdue' END AS state FROM raw r
+""")
+def stream_deadlines(spark, sf_dir):
+    """Every sign-up of a user without one open, and whether a purchase followed within 24 hours. The job is stopped
+    after the last event and goes on from its marks with a row of the clock, which lets the last timers run."""
+    base = fresh_path(spark, "deadlines")
+    stream, path = _growing(spark, sf_dir)
+    opens, closes = F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    J.run(D.marks(stream, "user_id", "ts", opens, closes, 24), "deadlines", folder=base, settings=D.STORE_CHOICE)
+    clock = table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("INTERVAL 26 HOURS")).alias("ts"))
+    tick = clock.select("ts", F.lit(-1).cast("long").alias("user_id"), F.lit("purchase").alias("event_type"))
+    tick.write.mode("append").parquet(path)
+    done = J.run(D.marks(stream, "user_id", "ts", opens, closes, 24), "deadlines", folder=base, settings=D.STORE_CHOICE)
+    return done.select("user_id", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "state")
 
 
 @query("""
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
-e AS (SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL '30 minutes' AS ends_at, count(*) AS asks FROM s GROUP BY user_id, n)
-SELECT user_id, started_at, asks FROM e WHERE date_trunc('millisecond', ends_at) <= date_trunc('millisecond', (SELECT max(ts) FROM events) - INTERVAL '1 hour')
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts) AS started_at, count(*) AS asks FROM s GROUP BY user_id, n
 """)
 def stream_sessions(spark, sf_dir):
-    rows = J.run(J.sessions(_events(spark, sf_dir), "user_id", "ts"), "sessions")
+    """Closed sessions from the stream, over several batches, and the open ones from the log after them."""
+    closed = J.run(J.sessions(_growing(spark, sf_dir)[0], "user_id", "ts"), "sessions").drop("batch_id")
+    rows = closed.unionByName(J.open_sessions(closed, table(spark, sf_dir, "events"), "user_id", "ts"))
     return rows.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "asks")
 
 

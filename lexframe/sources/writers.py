@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,42 +66,80 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- refresh by bucket
 
+#: Files that the rows of one bucket are dealt to, side by side.
+BUCKET_FILES = 8
+
 
 def bucket_of(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _write_version(rows: DataFrame, touched: DataFrame, path: str, key: str, name: str) -> None:
+    """One version: the rows of the touched buckets, and then the manifest rows that make it count. A version of the same
+    name is replaced, so that a repeated write changes nothing."""
+    spark = rows.sparkSession
+    known = manifest(spark, path)
+    of = known.filter(F.col("version") == name).agg(F.max("sequence")).first()[0] if known is not None else None
+    last = (known.agg(F.max("sequence")).first()[0] if known is not None else None) or 0
+    sequence = of if of is not None else last + 1
+    salt = F.pmod(F.xxhash64(F.col(key), F.lit("file")), F.lit(BUCKET_FILES))
+    rows.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={name}")
+    noted = touched.select("bucket", F.lit(sequence).cast("long").alias("sequence"))
+    noted.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={name}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """(bucket, sequence, version): which version wrote which buckets; None before the first."""
+    try:
+        return spark.read.schema("bucket int, sequence long, version string").parquet(f"{path}/manifest")
+    except AnalysisException:
+        return None
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, version): the last version of each bucket."""
+    return manifest(spark, path).groupBy("bucket").agg(F.max_by("version", "sequence").alias("version"))
+
+
 def create_index(entries: DataFrame, path: str, key: str, buckets: int) -> None:
-    """Index rows in hash buckets of the regulation. Each bucket holds one marker row, so
-    that a bucket which loses its last entry is still rewritten."""
-    spark = entries.sparkSession
-    markers = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(True).alias("marker"))
-    rows = entries.withColumns({"bucket": bucket_of(key, buckets), "marker": F.lit(False)})
-    rows.unionByName(markers, allowMissingColumns=True).repartition("bucket").write.partitionBy(
-        "bucket"
-    ).parquet(path)
+    """Index rows in hash buckets of the regulation. A refresh adds a version of the buckets it touches; a manifest
+    names the last version of each, also of one that has lost all its rows."""
+    every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    _write_version(entries.withColumn("bucket", bucket_of(key, buckets)), every, path, key, "first")
+
+
+def _stored(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """The rows of the last versions, or of those before the version `before`, if that was written already."""
+    known = manifest(spark, path)
+    if before is not None:
+        limit = known.filter(F.col("version") == before).agg(F.max("sequence")).first()[0]
+        known = known if limit is None else known.filter(F.col("sequence") < limit)
+    last = known.groupBy("bucket").agg(F.max_by("version", "sequence").alias("version"))
+    # A row for each bucket; partitions of other versions are not read.
+    return spark.read.parquet(f"{path}/data").join(F.broadcast(last), ["bucket", "version"], "left_semi").drop("version")
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter(~F.col("marker")).drop("marker")
+    return _stored(spark, path)
 
 
-def reindex(changed: DataFrame, entries: DataFrame, path: str, key: str, buckets: int) -> None:
+def reindex(changed: DataFrame, entries: DataFrame, path: str, key: str, buckets: int, name: str | None = None) -> None:
     """Replace the rows of the changed regulations by their present entries; a regulation
-    without entries is taken down. Only the buckets of changed regulations are rewritten.
-    Running it twice gives the same table."""
+    without entries is taken down. Only the buckets of changed regulations are rewritten, as a version of
+    their own. Running it twice, with or without a name, gives the same table."""
     spark = changed.sparkSession
-    keys = changed.select(key).distinct().withColumn("bucket", bucket_of(key, buckets))
+    name = name or f"refresh-{uuid.uuid4().hex}"
+    keys = cut_lineage(changed.select(key).distinct().withColumn("bucket", bucket_of(key, buckets)), "changed")
     touched = keys.select("bucket").distinct()
-    stored = spark.read.parquet(path)
-    keep = stored.join(touched, "bucket", "left_semi").join(keys.select(key), key, "left_anti")
-    fresh = entries.join(keys.select(key), key, "left_semi").withColumns(
-        {"bucket": bucket_of(key, buckets), "marker": F.lit(False)}
-    )
-    merged = cut_lineage(keep.unionByName(fresh.select(*keep.columns)), "reindex")
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket"
-    ).parquet(path)
+    keep = _stored(spark, path, name).join(F.broadcast(touched), "bucket", "left_semi").join(keys.select(key), key, "left_anti")
+    fresh = entries.join(keys.select(key), key, "left_semi").withColumn("bucket", bucket_of(key, buckets))
+    _write_version(keep.unionByName(fresh.select(*keep.columns)), touched, path, key, name)
+
+
+def stale_versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions that no bucket needs any more. Whoever owns the folder may delete them."""
+    needed = _current(spark, path).select("version").distinct()
+    return [r["version"] for r in manifest(spark, path).select("version").distinct().join(needed, "version", "left_anti").collect()]
 
 
 def update_payload(payload: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ key on reading.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +28,56 @@ def stream_table(spark: SparkSession, folder: str, file: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
-def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all that has landed and return the rows written, with their batch_id."""
+def land_in_order(rows: DataFrame, at: str, path: str, slices: int, late: str = "50 minutes") -> DataFrame:
+    """Writes a log as `slices` files in the order of their moments, with rows up to `late` late, and returns its stream, a
+    file for each batch. A reading job sees what it would have seen while the log grew."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(F.unix_micros(zoned(at))), F.max(F.unix_micros(zoned(at)))).first()
+    lag = F.pmod(F.xxhash64(*rows.columns), F.lit(1000)) / 1000 * F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {late})")
+    share = (F.unix_micros(zoned(at)) + lag - F.lit(low)) / F.lit(max(1, high - low))
+    numbered = rows.withColumn("_slice", F.least(F.floor(share * slices), F.lit(slices - 1)))
+    for n in range(slices):
+        numbered.filter(F.col("_slice") == n).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run(
+    stream: DataFrame,
+    name: str,
+    mode: str = "append",
+    folder: str | None = None,
+    settings: Mapping[str, str] | None = None,
+    step: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
+) -> DataFrame:
+    """Process all that has landed and return the rows written, with their batch_id. With a `folder`, marks and rows
+    stay there, and a later run goes on where the last one stopped. `settings` hold while the job starts. A
+    `step` makes a batch's rows from the batch and from the rows of all earlier batches; a batch that is run again
+    sees the same earlier rows and replaces its own."""
     spark = stream.sparkSession
-    out, marks = fresh_path(spark, name), fresh_path(spark, name + "-marks")
+    base = folder or fresh_path(spark, name)
+    out, marks = f"{base}/rows", f"{base}/marks"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if step:
+            earlier = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") < batch_id) if batch_id else None
+            batch = step(batch, earlier)
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", marks)
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", marks)
+            .foreachBatch(write)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.parquet(out)
 
 
@@ -64,12 +98,21 @@ def zoned(moment: str | Column) -> Column:
 # ---------------------------------------------------------------- jobs
 
 
-def new_documents(listing: DataFrame, known: DataFrame, url: str, at: str) -> DataFrame:
-    """Listed documents not seen in the stream within the lateness and not known yet."""
-    rows = listing.withColumns({"_at": zoned(at), "_url": normalize_url(F.col(url))})
-    once = rows.withWatermark("_at", LATENESS).dropDuplicatesWithinWatermark(["_url"])
+def first_listed(known: DataFrame, url: str, at: str, buckets: int = 64) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
+    """A step that keeps the first listing of each document, however long ago it was listed before, and none that is known
+    already. Only the buckets of a batch's documents are read of what was written."""
     seen = known.select(normalize_url(F.col(url)).alias("_url")).distinct()
-    return once.join(seen, "_url", "left_anti").drop("_at", "_url")
+
+    def step(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        rows = batch.withColumn("_url", normalize_url(F.col(url)))
+        rows = rows.groupBy("_url").agg(F.min_by(F.struct(*batch.columns), F.struct(at, url)).alias("_r")).select("_r.*", "_url")
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_url"), F.lit(buckets)).cast("int")).join(seen, "_url", "left_anti")
+        if earlier is not None:
+            touched = F.broadcast(rows.select("_bucket").distinct())  # as many rows as buckets at most
+            rows = rows.join(earlier.join(touched, "_bucket", "left_semi").select("_url"), "_url", "left_anti")
+        return rows
+
+    return step
 
 
 def lifecycle(events: DataFrame, key: str, at: str, opened: Column, closed: Column) -> DataFrame:
@@ -114,6 +157,10 @@ def gap_counts(records: DataFrame, topic: Column, reason: Column) -> DataFrame:
 def sessions(log: DataFrame, user: str, at: str) -> DataFrame:
     """Sessions of a user, emitted once no further row can join them."""
     rows = log.withColumn("_at", zoned(at)).withWatermark("_at", LATENESS)
+    return _sessions(rows, user)
+
+
+def _sessions(rows: DataFrame, user: str) -> DataFrame:
     return (
         rows.groupBy(user, F.session_window("_at", SESSION_GAP).alias("s"))
         .agg(F.count(F.lit(1)).alias("asks"))
@@ -121,16 +168,24 @@ def sessions(log: DataFrame, user: str, at: str) -> DataFrame:
     )
 
 
-def refresh_index(decisions: DataFrame, entries: DataFrame, path: str, key: str, buckets: int) -> None:
+def open_sessions(closed: DataFrame, log: DataFrame, user: str, at: str) -> DataFrame:
+    """The sessions that a stream has not closed yet, from the rows of the log after each user's last closed one. A session
+    ends a gap after its last row, so no later row is part of it."""
+    ended = closed.groupBy(F.col(user).alias("_user")).agg(F.max("ends_at").alias("_ended"))
+    rows = log.withColumn("_at", zoned(at)).join(ended, F.col(user).eqNullSafe(F.col("_user")), "left")
+    return _sessions(rows.filter(F.col("_ended").isNull() | (F.col("_at") >= F.col("_ended"))), user)
+
+
+def refresh_index(decisions: DataFrame, entries: DataFrame, path: str, key: str, buckets: int, marks: str | None = None) -> None:
     """Keep an index in step with review decisions: each batch rewrites only the buckets of
-    the regulations it touches, from the authoritative entries."""
-    spark = decisions.sparkSession
+    the regulations it touches, from the authoritative entries. The job's marks stay beside the index, so that a
+    stopped job goes on with the next decision; a batch that runs again replaces its own version."""
 
-    def apply(batch: DataFrame, _: int) -> None:
-        reindex(batch.select(key), entries, path, key, buckets)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        reindex(batch.select(key), entries, path, key, buckets, f"batch-{batch_id:09d}")
 
     query = (
-        decisions.writeStream.option("checkpointLocation", fresh_path(spark, "refresh-marks"))
+        decisions.writeStream.option("checkpointLocation", marks or f"{path}/marks")
         .foreachBatch(apply)
         .trigger(availableNow=True)
         .start()
