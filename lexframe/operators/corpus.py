@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
 from lexframe.functions.common import null_if_empty, text_of
+from lexframe.operators.numbering import number_rows
 from lexframe.operators.retrieval import official_status
 from lexframe.operators.temporal import citable
+from lexframe.session import cut_lineage
 
 # Fields that a repair compares.
 REPAIRABLE = (
@@ -19,21 +21,6 @@ REPAIRABLE = (
 SAMPLE_TITLES = 8
 
 
-def number_rows(df: DataFrame, key: str, name: str = "number", per_bucket: int = 1_000_000) -> DataFrame:
-    """1..n in the order of an integer key. Rows are counted per key range and numbered
-    inside it, so no single task sorts everything; ranges hold a bounded number of keys."""
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / per_bucket))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_bucket").orderBy(key)
-    return (
-        rows.join(offsets, "_bucket")
-        .withColumn(name, F.col("_off") + F.row_number().over(inside))
-        .drop("_bucket", "_off")
-    )
-
-
 # ---------------------------------------------------------------- duplicates
 
 
@@ -64,31 +51,43 @@ def best_files(files: DataFrame, key: str, title: str = "title", number: str = "
 # ---------------------------------------------------------------- import
 
 
+def _keyed(df: DataFrame, title: Column) -> DataFrame:
+    """Adds the two keys of a regulation, (domain, level, number) and (domain, level, title); a key without a name is
+    null and equals none. Missing domains and levels are alike."""
+    key = lambda name: F.when(name.isNotNull(), F.struct("domain_id", "hierarchy_level", name.alias("name")))
+    return df.withColumns({"_n": key(null_if_empty(text_of("document_number"))), "_t": key(null_if_empty(title))})
+
+
+def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    for key in ("_n", "_t"):
+        rows = rows.join(taken.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    return rows
+
+
 def new_regulations(batch: DataFrame, known: DataFrame, order: str) -> DataFrame:
-    """Rows of the batch that are not in the library yet, matched by (domain, number, level),
-    or by (domain, title, level) where no number is given; the first of a batch wins."""
-
-    def identity(df: DataFrame) -> Column:
-        number = null_if_empty(text_of("document_number"))
-        return F.concat_ws(
-            "\x1f",
-            "domain_id",
-            "hierarchy_level",
-            F.when(number.isNotNull(), F.concat(F.lit("n:"), number)).otherwise(F.concat(F.lit("t:"), "title")),
-        )
+    """Rows of the batch that an import in the given order adds. A row is there already if one of the library, or one
+    that the batch added before it, has its number, or its title; a row that was left out stands in nobody's
+    way. Rows with neither are always added.
 
-    first = batch.withColumn("_id", identity(batch)).groupBy("_id").agg(
-        F.min_by(F.struct(*batch.columns), order).alias("_f")
-    )
-    names = known.select(
-        F.explode(
-            F.array(
-                F.concat_ws("\x1f", "domain_id", "hierarchy_level", F.concat(F.lit("n:"), "document_number")),
-                F.concat_ws("\x1f", "domain_id", "hierarchy_level", F.concat(F.lit("t:"), "title")),
-            )
-        ).alias("_id")
-    )
-    return first.join(names, "_id", "left_anti").select("_f.*")
+    Of the rows still open, one that comes first under both its keys is added, and all others under these keys are
+    left out; this is repeated until no row is open.
+    """
+    # Several rows of one place in the order keep the one they were read in.
+    numbered = _keyed(batch.select("*", F.struct(order, F.monotonically_increasing_id().alias("_id")).alias("_at")), F.trim(text_of("title")))
+    rows = cut_lineage(numbered, "batch")
+    added = rows.filter(F.col("_n").isNull() & F.col("_t").isNull())
+    open_rows = _without(rows.filter(F.col("_n").isNotNull() | F.col("_t").isNotNull()), _keyed(known, text_of("title")))
+    open_rows = cut_lineage(open_rows, "open")
+    while not open_rows.isEmpty():
+        judged = open_rows
+        for key, first in (("_n", "_first_n"), ("_t", "_first_t")):
+            firsts = open_rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias(first))
+            judged = judged.join(firsts, key, "left")
+        leads = lambda key, first: F.col(key).isNull() | (F.col("_at") == F.col(first))
+        taken = cut_lineage(judged.filter(leads("_n", "_first_n") & leads("_t", "_first_t")).select(*rows.columns), "taken")
+        added = added.unionByName(taken)
+        open_rows = cut_lineage(_without(open_rows, taken), "open")
+    return added.select(*batch.columns)
 
 
 def import_report(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexframe.functions import text as T
 from lexframe.functions.common import contains_any, first_rule, lookup
-from lexframe.operators.corpus import number_rows
+from lexframe.operators.numbering import number_rows
 
 # Thresholds, veto, canary ladder, class shares.
 THRESHOLDS = {"pass_rate": 0.85, "recall_at_5": 0.80}

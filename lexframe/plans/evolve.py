@@ -10,6 +10,8 @@ from lexframe.operators import evolve as E
 from lexframe.operators import structure as S
 from lexframe.plans.base import Family
 from lexframe.plans.bindings import NOTICE_SQL, REGULATION_SQL, notices, regulations, table
+from lexframe.session import fresh_path
+from lexframe.sources import writers as Wr
 
 family = Family()
 query = family.query
@@ -45,12 +47,87 @@ def dedup_files(spark, sf_dir):
     return C.best_files(files, "doc_id").select("doc_id", "file_no")
 
 
+# Each document with its number and title, and for some of them twins: the number under another title, the title without
+# a number, neither, and the other title alone, which is new where the twin that bears it was left out.
+TWINS_SQL = f"""
+r AS (SELECT doc_id, lang AS domain_id, hierarchy_level, document_number, title, review_state FROM ({REGULATION_SQL}) x),
+twins AS (SELECT doc_id, 0 AS twin, domain_id, hierarchy_level, document_number, title FROM r
+  UNION ALL SELECT doc_id, 1, domain_id, hierarchy_level, document_number, 'copy of ' || title FROM r WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 2, domain_id, hierarchy_level, NULL, ' ' || title FROM r WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 3, domain_id, hierarchy_level, NULL, '' FROM r WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 4, domain_id, hierarchy_level, NULL, 'copy of ' || title FROM r WHERE doc_id % 6 = 0),
+keyed AS (SELECT *, (twin * 3 % 5) * 1000000000000 + doc_id AS place,
+  CASE WHEN document_number <> '' THEN domain_id || '|' || hierarchy_level || '|' || document_number END AS n,
+  CASE WHEN trim(title, ' ') <> '' THEN domain_id || '|' || hierarchy_level || '|' || trim(title, ' ') END AS t FROM twins),
+listed AS (SELECT *, row_number() OVER (ORDER BY place) AS i FROM keyed),
+library AS (SELECT coalesce(list(domain_id || '|' || hierarchy_level || '|' || document_number) FILTER (document_number <> ''), []) AS ns,
+  coalesce(list(domain_id || '|' || hierarchy_level || '|' || title) FILTER (title <> ''), []) AS ts FROM r WHERE review_state = 'rejected'),
+steps AS (SELECT CAST(0 AS BIGINT) AS i, ns, ts, false AS added FROM library
+  UNION ALL
+  SELECT i, CASE WHEN added AND n IS NOT NULL THEN list_append(ns, n) ELSE ns END, CASE WHEN added AND t IS NOT NULL THEN list_append(ts, t) ELSE ts END, added FROM (
+    SELECT l.i, n, t, ns, ts, NOT coalesce(list_contains(ns, n), false) AND NOT coalesce(list_contains(ts, t), false) AS added
+    FROM steps s JOIN listed l ON l.i = s.i + 1) x)"""
+
+
+EMPTY_LIBRARY_SQL = TWINS_SQL.replace("FROM r WHERE review_state = 'rejected')", "FROM r WHERE false)")
+
+
+def _twins(spark, sf_dir):
+    rows = regulations(spark, sf_dir).withColumn("domain_id", F.col("lang"))
+    number, title, none = F.col("document_number"), F.col("title"), F.lit(None).cast("string")
+    pair = lambda twin, n, t, when: F.when(when, F.struct(F.lit(twin).alias("twin"), n.alias("document_number"), t.alias("title")))
+    doc, copy = F.col("doc_id"), F.concat(F.lit("copy of "), title)
+    variants = F.array_compact(F.array(
+        pair(0, number, title, F.lit(True)), pair(1, number, copy, doc % 3 == 0), pair(2, none, F.concat(F.lit(" "), title), doc % 4 == 0),
+        pair(3, none, F.lit(""), doc % 5 == 0), pair(4, none, copy, doc % 6 == 0),
+    ))
+    batch = rows.select("doc_id", "domain_id", "hierarchy_level", F.inline(variants))
+    place = (F.col("twin") * 3 % 5).cast("long") * 1_000_000_000_000 + F.col("doc_id")
+    return batch.withColumn("place", place), rows.filter(F.col("review_state") == "rejected")
+
+
+@query(f"WITH RECURSIVE {TWINS_SQL} SELECT doc_id, twin FROM steps JOIN listed USING (i) WHERE added")
+def import_twins(spark, sf_dir):
+    """All documents with their twins, against a library that holds the rejected ones: what an import in order adds."""
+    batch, known = _twins(spark, sf_dir)
+    return C.new_regulations(batch, known, "place").select("doc_id", "twin")
+
+
+@query(f"WITH RECURSIVE {EMPTY_LIBRARY_SQL} SELECT doc_id, twin FROM steps JOIN listed USING (i) WHERE added")
+def import_twice(spark, sf_dir):
+    """The same batch into an empty corpus, run again under its name, and imported once more under another."""
+    batch = _twins(spark, sf_dir)[0].withColumn("level_code", F.lit("article"))
+    path = fresh_path(spark, "corpus")
+    for name in ("first", "first", "second"):
+        rows = batch.select("place", "doc_id", "twin", "domain_id", "hierarchy_level", "document_number", "title")
+        parts = batch.select("place", "domain_id", "level_code")
+        Wr.merge_corpus(rows, parts, parts, path, name, "place", "place")
+    articles = spark.read.parquet(f"{path}/articles").select("place")
+    return spark.read.parquet(f"{path}/regulations").join(articles, "place").select("doc_id", "twin")
+
+
+@query("""
+SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 2654435761) % 2147483647 * 4294967296 + doc_id) AS number FROM documents
+""")
+def number_hashed_ids(spark, sf_dir):
+    """Documents numbered by ids that fill 63 bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    wide = (F.col("doc_id") * 2654435761) % 2147483647 * 4294967296 + F.col("doc_id")
+    return C.number_rows(docs.withColumn("wide", wide), "wide").select("doc_id", "number")
+
+
 BATCH_SQL = f"""
-all_rows AS (SELECT doc_id, lang AS domain_id, title, hierarchy_level, document_number, review_state,
-  lang || '|' || hierarchy_level || '|' || CASE WHEN document_number IS NOT NULL THEN 'n:' || document_number ELSE 't:' || title END AS id FROM ({REGULATION_SQL}) r),
-known AS (SELECT lang || '|' || hierarchy_level || '|n:' || document_number AS id FROM ({REGULATION_SQL}) r WHERE review_state = 'rejected' AND document_number IS NOT NULL
-  UNION ALL SELECT lang || '|' || hierarchy_level || '|t:' || title FROM ({REGULATION_SQL}) r WHERE review_state = 'rejected'),
-fresh AS (SELECT min(doc_id) AS doc_id FROM all_rows WHERE id NOT IN (SELECT id FROM known) GROUP BY id)"""
+r AS (SELECT doc_id, lang AS domain_id, title, hierarchy_level, document_number, review_state, lang || '|' || hierarchy_level || '|' || nullif(document_number, '') AS n,
+  lang || '|' || hierarchy_level || '|' || nullif(trim(title, ' '), '') AS t, row_number() OVER (ORDER BY doc_id) AS i FROM ({REGULATION_SQL}) x),
+all_rows AS (SELECT * FROM r),
+library AS (SELECT coalesce(list(n) FILTER (n IS NOT NULL), []) AS ns, coalesce(list(lang || '|' || hierarchy_level || '|' || title) FILTER (title <> ''), []) AS ts
+  FROM (SELECT *, domain_id AS lang FROM r) y WHERE review_state = 'rejected'),
+steps AS (SELECT CAST(0 AS BIGINT) AS i, ns, ts, false AS added FROM library
+  UNION ALL
+  SELECT i, CASE WHEN added AND n IS NOT NULL THEN list_append(ns, n) ELSE ns END, CASE WHEN added AND t IS NOT NULL THEN list_append(ts, t) ELSE ts END, added FROM (
+    SELECT l.i, n, t, ns, ts, NOT coalesce(list_contains(ns, n), false) AND NOT coalesce(list_contains(ts, t), false) AS added
+    FROM steps s JOIN r l ON l.i = s.i + 1) x),
+fresh AS (SELECT doc_id FROM steps JOIN r USING (i) WHERE added)"""
 
 
 def _import(spark, sf_dir):
@@ -60,14 +137,14 @@ def _import(spark, sf_dir):
     return batch, C.new_regulations(batch, known, "doc_id")
 
 
-@query(f"WITH {BATCH_SQL} SELECT doc_id FROM fresh")
+@query(f"WITH RECURSIVE {BATCH_SQL} SELECT doc_id FROM fresh")
 def import_new(spark, sf_dir):
     """All documents as a batch against a library that holds the rejected ones."""
     return _import(spark, sf_dir)[1].select("doc_id")
 
 
 @query(f"""
-WITH {BATCH_SQL}, s AS (SELECT a.*, CASE WHEN title = '' THEN 'failed' WHEN f.doc_id IS NOT NULL THEN 'imported' ELSE 'skipped' END AS status
+WITH RECURSIVE {BATCH_SQL}, s AS (SELECT a.*, CASE WHEN title = '' THEN 'failed' WHEN f.doc_id IS NOT NULL THEN 'imported' ELSE 'skipped' END AS status
   FROM all_rows a LEFT JOIN fresh f ON f.doc_id = a.doc_id)
 SELECT count(*) AS total, count(*) FILTER (status = 'imported') AS imported, count(*) FILTER (status = 'skipped') AS skipped,
   count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'imported' AND document_number IS NULL) AS for_review,

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexframe.operators.corpus import new_regulations
 from lexframe.operators.temporal import citable
 from lexframe.rules.ontology import CITABLE_LEVELS
 from lexframe.session import cut_lineage
@@ -26,6 +27,25 @@ def write_corpus(regulations: DataFrame, articles: DataFrame, versions: DataFram
     kept.write.mode("append").partitionBy("domain_id").parquet(f"{path}/versions")
 
 
+def merge_corpus(regulations: DataFrame, articles: DataFrame, versions: DataFrame, path: str, name: str, key: str, order: str) -> None:
+    """One import, known by its name: only regulations that the corpus does not hold yet, with their articles and
+    versions. An import that is run again replaces what it wrote, and a second one of the same rows adds none;
+    regulations with neither number nor title are told by all their columns."""
+    spark = regulations.sparkSession
+    try:
+        known = spark.read.option("mergeSchema", "true").parquet(f"{path}/regulations").filter(F.col("import") != name)
+    except AnalysisException:
+        known = regulations.filter("false")
+    row = F.struct(*[F.col(c) for c in regulations.columns]).alias("_row")
+    held = known.select(row).distinct()
+    new = cut_lineage(new_regulations(regulations, known, order).withColumn("_row", row).join(held, "_row", "left_anti").drop("_row"), "import")
+    kept = new.select(key).distinct()
+    tables = {"regulations": new, "articles": articles.join(kept, key, "left_semi")}
+    tables["versions"] = versions.filter(F.col("level_code").isin(*CITABLE_LEVELS)).join(kept, key, "left_semi")
+    for table, rows in tables.items():
+        rows.write.mode("overwrite").partitionBy("domain_id").parquet(f"{path}/{table}/import={name}")
+
+
 def append_records(records: DataFrame, path: str) -> None:
     """Audit, verification, evaluation and gate rows are only ever added."""
     records.write.mode("append").parquet(path)

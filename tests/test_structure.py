@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexframe.operators import corpus as C
+from lexframe.sources import writers as W
 from lexframe.operators import matching as Mt
 from lexframe.operators import relations as Rel
 from lexframe.operators import structure as S
@@ -154,10 +155,22 @@ def test_duplicates_and_numbering(spark):
 
 def test_numbering_carries_over_buckets(spark):
     df = spark.range(0, 1000, 3)
-    rows = C.number_rows(df, "id", "n", per_bucket=50).orderBy("id").collect()
+    rows = C.number_rows(df, "id", "n", partitions=7).orderBy("id").collect()
     assert [r.n for r in rows] == list(range(1, len(rows) + 1))
 
 
+def test_numbering_of_large_ids_texts_and_ties(spark):
+    big = [(1 << 62) + 3 * i for i in range(200)] + [-(1 << 61) + i for i in range(100)] + [None] * 3
+    df = spark.createDataFrame([(i, str(i)) for i in big], "id long, t string").repartition(5)
+    rows = C.number_rows(df, "id", "n", partitions=6).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r.n)] == [None] * 3 + sorted(i for i in big if i is not None)
+    assert sorted(r.n for r in rows) == list(range(1, 304))
+    same = spark.range(500).select(F.lit("x").alias("t"), "id").repartition(4)
+    spread = C.number_rows(same, "t", "n", partitions=4)
+    assert sorted(r.n for r in spread.collect()) == list(range(1, 501))
+    assert C.number_rows(df.filter("false"), "id").collect() == []
+
+
 def test_import_is_idempotent(spark):
     schema = "id int, domain_id string, hierarchy_level string, document_number string, title string"
     batch = spark.createDataFrame(
@@ -166,3 +179,30 @@ def test_import_is_idempotent(spark):
     none = batch.filter("false")
     assert {r.id for r in C.new_regulations(batch, none, "id").collect()} == {1, 3}
     assert C.new_regulations(batch, batch, "id").count() == 0
+
+
+def test_import_goes_by_number_then_title_in_order(spark):
+    schema = "id int, domain_id string, hierarchy_level string, document_number string, title string"
+    rows = [
+        (1, "d", "n", "1号", "甲"), (2, "d", "n", "1号", "乙"), (3, "d", "n", "2号", "乙"), (4, "d", "n", None, " 乙 "),
+        (5, "d", "n", None, ""), (6, "d", "n", "", None), (7, "d", "law", "1号", "甲"), (8, None, None, None, "丙"),
+        (9, None, None, "9号", "丙"), (10, "d", "n", "3号", "库"), (11, "d", "n", "7号", "丁"), (11, "d", "n", "7号", "丁"),
+    ]
+    batch = spark.createDataFrame(rows, schema)
+    known = spark.createDataFrame([(0, "d", "n", None, "库"), (0, "d", "n", "8号", None)], schema)
+    # 2 goes for its number and leaves its title to 3; 4 is a twin of 3 without a number; 5 and 6 have no key.
+    added = sorted(r.id for r in C.new_regulations(batch, known, "id").collect())
+    assert added == [1, 3, 5, 6, 7, 8, 11]
+
+
+def test_corpus_merge_adds_nothing_twice(spark, tmp_path):
+    schema = "regulation_id int, domain_id string, hierarchy_level string, document_number string, title string"
+    regs = spark.createDataFrame([(1, "a", "n", "1号", "甲"), (2, "a", "n", None, "甲"), (3, "b", "n", None, "乙")], schema)
+    parts = spark.createDataFrame([(i, "b" if i == 3 else "a", "article", f"x{i}") for i in (1, 2, 3)], "regulation_id int, domain_id string, level_code string, content string")
+    for name in ("first", "first", "second"):
+        W.merge_corpus(regs, parts, parts, str(tmp_path), name, "regulation_id", "regulation_id")
+    for table in ("regulations", "articles", "versions"):
+        assert sorted(r.regulation_id for r in spark.read.parquet(f"{tmp_path}/{table}").collect()) == [1, 3]
+    more = regs.filter("regulation_id = 3").withColumn("title", F.lit("丙"))
+    W.merge_corpus(more, parts, parts, str(tmp_path), "third", "regulation_id", "regulation_id")
+    assert spark.read.parquet(f"{tmp_path}/regulations").count() == 3
