@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexframe.functions.common import lookup
 from lexframe.operators import corpus as C
 from lexframe.operators import evolve as E
+from lexframe.operators import nested as N
 from lexframe.operators import structure as S
 from lexframe.plans.base import Family
 from lexframe.plans.bindings import NOTICE_SQL, REGULATION_SQL, notices, regulations, table
@@ -428,3 +429,27 @@ def article_tree(spark, sf_dir):
         .unionByName(node("customer", "c", "c_custkey", ("n", "c_nationkey")))
     )
     return S.article_tree(nodes, "id", "parent").select("id", "depth", "root")
+
+
+@query("""
+WITH RECURSIVE base AS (SELECT doc_id, CASE WHEN doc_id = 0 THEN NULL WHEN (doc_id // 4) % 17 = 5 THEN doc_id // 4 + 1000000000 ELSE doc_id // 4 END AS parent,
+  CAST(n_chars % 10 AS BIGINT) AS place FROM documents),
+t AS (SELECT doc_id AS root, doc_id, 0 AS d, [place, doc_id] AS path FROM base WHERE parent IS NULL OR parent NOT IN (SELECT doc_id FROM base)
+  UNION ALL SELECT t.root, b.doc_id, d + 1, path || [b.place, b.doc_id] FROM t JOIN base b ON b.parent = t.doc_id),
+v AS (SELECT doc_id, 2 * count(*) AS n FROM labels GROUP BY doc_id)
+SELECT root AS doc_id, count(*) AS nodes, max(d) + 1 AS levels, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY path)) AS preorder,
+  CAST(sum(coalesce(v.n, 0)) AS BIGINT) AS versions FROM t LEFT JOIN v USING (doc_id) GROUP BY root
+""")
+def article_nested(spark, sf_dir):
+    """Documents as a tree of four children each, with repeated rows and missing parents, and the labels as versions."""
+    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    up = F.expr("doc_id div 4")
+    parent = F.when(key > 0, F.when(up % 17 == 5, up + 1_000_000_000).otherwise(up))
+    nodes = docs.select("doc_id", parent.alias("parent"), (F.col("n_chars") % 10).cast("long").alias("place"))
+    again = nodes.filter(key % 9 == 0).withColumn("place", F.col("place") + 100)
+    versions = table(spark, sf_dir, "labels").select("doc_id", F.inline(F.expr("array(struct(1 AS version, quality AS mark), struct(2 AS version, toxic AS mark))")))
+    rows = N.nested_tree(nodes.unionByName(again), versions, "doc_id", "parent", "place")
+    listed = F.regexp_extract_all("tree", F.lit(r'"doc_id":(\d+)'), F.lit(1))
+    return rows.select(
+        "doc_id", "nodes", "levels", F.md5(F.array_join(listed, ",")).alias("preorder"), F.regexp_count("tree", F.lit('"version":')).cast("long").alias("versions")
+    )

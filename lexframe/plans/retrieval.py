@@ -14,6 +14,7 @@ from lexframe.operators.matching import passages_in_texts
 from lexframe.plans.base import Family
 from lexframe.plans.bindings import REGULATION_SQL, regulations, table
 from lexframe.session import cut_lineage
+from lexframe.sources import bucketed as B
 
 family = Family()
 query = family.query
@@ -154,6 +155,61 @@ def index_entries(spark, sf_dir):
     )
 
 
+# Lines of a document as its articles, each with a version that starts so many days after the document.
+LINES_SQL = f"""
+lines AS (SELECT *, row_number() OVER () AS _r FROM (SELECT r.*, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS article_no FROM ({REGULATION_SQL}) r) x),
+joined AS (SELECT doc_id AS regulation_id, article_no, title, hierarchy_level, review_state, effect_status, publish_date + CAST(article_no AS INTEGER) AS valid_from, line AS content FROM lines)"""
+
+
+def _bucketed(spark, sf_dir):
+    """The corpus of documents, lines and versions, bucketed alike; written once per session and input."""
+    mark = (spark.sparkContext.applicationId, sf_dir)
+    if mark not in _BUCKETED:
+        rows = regulations(spark, sf_dir).withColumnRenamed("doc_id", "regulation_id")
+        lines = rows.select("regulation_id", "publish_date", F.posexplode(F.split("content", "\n")).alias("at", "content"))
+        lines = lines.withColumn("article_no", (F.col("at") + 1).cast("long"))
+        articles = lines.select("regulation_id", "article_no", F.concat(F.lit("line "), "article_no").alias("full_no"), F.lit("article").alias("level_code"))
+        start = F.date_add("publish_date", F.col("article_no").cast("int"))
+        versions = lines.select("regulation_id", "article_no", "content", start.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+        _BUCKETED[mark] = B.write_bucketed(rows.drop("content"), articles, versions, 16)
+    return _BUCKETED[mark]
+
+
+_BUCKETED: dict = {}
+
+
+@query(f"""
+WITH {LINES_SQL} SELECT regulation_id, article_no, hierarchy_level, valid_from, md5(content) AS content_md5 FROM joined
+WHERE {LIVE} AND valid_from <= DATE '2024-06-30' AND contains(content, 'tion')
+""")
+def structured_articles(spark, sf_dir):
+    """Articles in force with a word, from versions, articles and regulations joined in their buckets."""
+    rows = _bucketed(spark, sf_dir).joined(spark)
+    keep = R.hard_filter(as_of=F.lit("2024-06-30").cast("date")) & R.keyword_match("tion", F.col("content"))
+    return rows.filter(keep).select("regulation_id", "article_no", "hierarchy_level", "valid_from", F.md5("content").alias("content_md5"))
+
+
+@query(f"""
+WITH {LINES_SQL} SELECT regulation_id, article_no, md5(title || chr(10) || trim(content, ' ')) AS dense_md5, CAST(epoch(valid_from) AS BIGINT) AS valid_from_ts
+FROM joined WHERE {LIVE} AND length(trim(content, ' ')) > 0
+""")
+def index_entries_joined(spark, sf_dir):
+    """Index rows of all article versions, read from the same join."""
+    rows = _bucketed(spark, sf_dir).joined(spark).withColumn("version_id", F.concat_ws("-", "regulation_id", "article_no"))
+    entries = R.index_entries(rows, title="title")
+    return entries.select("regulation_id", "article_no", F.md5("dense_text").alias("dense_md5"), "valid_from_ts")
+
+
+@query(f"""
+WITH {LINES_SQL} SELECT regulation_id, article_no, md5(content) AS content_md5 FROM joined WHERE 'line ' || article_no = 'line 12' AND {LIVE}
+""")
+def article_number_search(spark, sf_dir):
+    """One article number in all regulations in force."""
+    rows = _bucketed(spark, sf_dir).joined(spark).filter(R.hard_filter())
+    hit = rows.filter(R.article_match(F.col("full_no"), F.col("full_no"), "line 12"))
+    return hit.filter(F.col("full_no") == "line 12").select("regulation_id", "article_no", F.md5("content").alias("content_md5"))
+
+
 @query(f"""
 SELECT doc_id, source FROM documents WHERE contains(text, 'tion') AND doc_id IN (
   SELECT doc_id FROM ({REGULATION_SQL}) r WHERE {LIVE})

@@ -12,6 +12,7 @@ from lexframe.plans.bindings import REGULATION_SQL, regulations, table
 from lexframe.plans.evolve import TOPIC_SQL, WORDS
 from lexframe.plans.retrieval import LIVE
 from lexframe.session import fresh_path
+from lexframe.sources import inbox_source as Ib
 from lexframe.sources import readers as Rd
 from lexframe.sources import writers as Wr
 from lexframe.streaming import deadlines as D
@@ -196,6 +197,21 @@ def sink_roundtrip(spark, sf_dir):
     )
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS text_md5 FROM documents""")
+def inbox_source(spark, sf_dir):
+    """Documents as files of an inbox, read by the data source as a stream that is stopped and goes on. The second
+    half of the names arrives while it is down."""
+    named = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    folder, base = fresh_path(spark, "inbox"), fresh_path(spark, "inbox-stream")
+    Ib.register(spark)
+    for late in (False, True):
+        part = named.filter((F.col("name") >= "5") == late)
+        part.foreachPartition(lambda rows: Ib.put_files(folder, ((r["name"], r["text"]) for r in rows)))
+        stream = spark.readStream.format("lex_inbox").load(folder)
+        done = J.run(stream, "inbox", folder=base)
+    return done.select("name", "size", F.md5("content").alias("text_md5"))
+
+
 @query("""SELECT doc_id, md5(text) AS text_md5, source AS collection FROM documents""")
 def inbox_roundtrip(spark, sf_dir):
     """Documents landed as bundle lines, read back through the bundle reader."""

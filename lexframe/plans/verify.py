@@ -201,24 +201,83 @@ def interception_rates(spark, sf_dir):
     return Vf.interception(answers, issues)
 
 
-@query(f"""
-WITH {CITED_SQL}, bad AS (SELECT DISTINCT answer_id FROM citation_issue)
-SELECT o_orderkey AS answer_id, CASE WHEN o_custkey % 50 = 0 THEN 'degraded' WHEN b.answer_id IS NOT NULL THEN 'repaired' ELSE 'passed' END AS outcome,
-  CASE WHEN b.answer_id IS NOT NULL THEN 1 ELSE 0 END AS retries FROM orders LEFT JOIN bad b ON b.answer_id = o_orderkey
-""")
-def answer_repair(spark, sf_dir):
-    """Verify, drop bad citations, verify again; over-reaching answers are degraded."""
+STATED_SQL = """
+stated AS (SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 7 = 0 THEN 'off' WHEN o_orderkey % 31 = 0 THEN 'none' END AS fault FROM orders)"""
+
+
+def _stated(spark, sf_dir):
+    """A figure of each order as an answer states it, wrong in some and no number in some, and as recomputed."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("answer_id"), F.lit("vat").alias("block"), F.lit("应纳税额").alias("title"), F.col("o_totalprice").cast(M.MONEY).alias("result")
+    )
+    key = F.col("answer_id")
+    text = F.when(key % 7 == 0, (F.col("result") + F.lit(1)).cast(M.MONEY).cast("string")).when(key % 31 == 0, "n/a")
+    return rows.withColumn("result", F.coalesce(text, F.col("result").cast("string"))), rows
+
+
+def _repaired(spark, sf_dir):
     regs, articles = _library(spark, sf_dir)
-    answers = _answers(spark, sf_dir)
-    none = spark.createDataFrame([], "answer_id bigint, block string, title string, result string")
+    answers = _answers(spark, sf_dir).withColumn("cited", F.lit(-1).cast("long"))
+    stated, expected = _stated(spark, sf_dir)
 
     def verify(a, c, f):
         return Vf.all_issues(
-            Vf.citation_issues(c, regs, articles), Vf.compliance_issues(a, "wording", "disclaimer")
+            Vf.citation_issues(c, regs, articles), Vf.compliance_issues(a, "wording", "disclaimer"), Vf.calculation_issues(f, expected)
         )
 
-    out = Vf.repair(answers, _citations(spark, sf_dir), none, verify)["outcome"]
-    return out.select("answer_id", "outcome", "retries")
+    def rebuild(a, c, f):
+        """An answer that lost a citation names those left, and is made without over-reaching words for every third customer."""
+        left = c.groupBy("answer_id").agg(F.count(F.lit(1)).alias("_left"))
+        soft = F.when(F.col("answer_id") % 3 == 0, F.lit("照章办理")).otherwise(F.col("wording"))
+        rows = a.join(left, "answer_id", "left").withColumns({"cited": F.coalesce("_left", F.lit(0)), "wording": soft})
+        return rows.drop("_left")
+
+    return Vf.repair(answers, _citations(spark, sf_dir), stated, verify, rebuild), answers
+
+
+# An answer blocked by a citation is rebuilt once without it; what still blocks afterwards degrades it.
+REPAIR_SQL = f"""
+{CITED_SQL}, {STATED_SQL},
+a AS (SELECT o_orderkey AS answer_id, o_custkey % 50 = 0 AS over, b.answer_id IS NOT NULL AS bad, fault
+  FROM orders JOIN stated s ON s.answer_id = o_orderkey LEFT JOIN (SELECT DISTINCT answer_id FROM citation_issue) b ON b.answer_id = o_orderkey),
+s AS (SELECT *, over AND (NOT bad OR answer_id % 3 <> 0) OR coalesce(fault = 'none', false) AS lost FROM a)"""
+
+
+@query(f"""
+WITH {REPAIR_SQL}
+SELECT answer_id, CASE WHEN lost THEN 'degraded' WHEN fault = 'off' THEN 'fixed' ELSE 'passed' END AS outcome,
+  CASE WHEN bad THEN 1 ELSE 0 END + CASE WHEN NOT lost AND fault = 'off' THEN 1 ELSE 0 END AS retries FROM s
+""")
+def answer_repair(spark, sf_dir):
+    """Verify, fix figures, drop bad citations and rebuild, verify again; what still blocks is degraded."""
+    out, _ = _repaired(spark, sf_dir)
+    return out["outcome"].select("answer_id", "outcome", "retries")
+
+
+@query(f"""
+WITH {REPAIR_SQL}
+SELECT answer_id, list_sort(list_distinct(CASE WHEN over AND (NOT bad OR answer_id % 3 <> 0) THEN ['compliance'] ELSE [] END
+  || CASE WHEN fault = 'none' THEN ['calculation'] ELSE [] END)) AS verifiers FROM s WHERE lost
+""")
+def answer_degraded(spark, sf_dir):
+    """Degraded answers with the kinds of reasons they name."""
+    out, _ = _repaired(spark, sf_dir)
+    kind = lambda r: F.when(r["code"].startswith("calculation"), "calculation").otherwise("compliance")
+    return out["degraded"].select("answer_id", F.array_sort(F.array_distinct(F.transform("reasons", kind))).alias("verifiers"))
+
+
+@query(f"""
+WITH {REPAIR_SQL}
+SELECT answer_id, CASE WHEN fault = 'off' AND NOT lost THEN true ELSE false END AS mended FROM s WHERE fault = 'off'
+""")
+def answer_figures(spark, sf_dir):
+    """Figures that were stated wrong: mended in the answers that could be kept."""
+    out, _ = _repaired(spark, sf_dir)
+    wrong, truth = _stated(spark, sf_dir)
+    wrong = wrong.filter(F.col("answer_id") % 7 == 0).select("answer_id")
+    now = out["figures"].join(truth.select("answer_id", F.col("result").cast("string").alias("_true")), "answer_id")
+    return now.join(wrong, "answer_id", "left_semi").select("answer_id", (F.col("result") == F.col("_true")).alias("mended"))
 
 
 @query(r"""

@@ -115,11 +115,20 @@ def test_repair_fixes_drops_and_degrades(spark):
     def verify(a, c, f):
         return V.all_issues(V.citation_issues(c, regs, arts), V.compliance_issues(a), V.calculation_issues(f, truth))
 
-    out = V.repair(answers, cits, figures, verify)
+    def rebuild(a, c, f):
+        return a.withColumn("text", F.concat(F.lit("新"), "text"))
+
+    out = V.repair(answers, cits, figures, verify, rebuild)
     got = {r.answer_id: (r.outcome, r.retries) for r in out["outcome"].collect()}
-    assert got == {1: ("passed", 0), 2: ("repaired", 1), 3: ("degraded", 0), 4: ("repaired", 1)}
+    assert got == {1: ("passed", 0), 2: ("passed", 1), 3: ("degraded", 0), 4: ("fixed", 1)}
     assert {(r.answer_id, r.citation_no) for r in out["citations"].collect()} == {(1, 1), (2, 2)}
     assert out["figures"].first().result == "12.00"
+    assert {r.answer_id: r.text for r in out["answers"].collect()} == {1: "好", 2: "新好", 3: "保证可以", 4: "好"}
+    lost = out["degraded"].first()
+    assert lost.answer_id == 3 and lost.basis == [] and len(lost.reasons) == 1
+    plain = V.repair(answers, cits, figures, verify)
+    assert {r.answer_id: r.outcome for r in plain["outcome"].collect()} == {1: "passed", 2: "degraded", 3: "degraded", 4: "fixed"}
+    assert {r.answer_id: r.basis for r in plain["degraded"].collect()} == {2: ["财税9号", "财税1号"], 3: []}
 
 
 def test_evaluation_and_gate(spark):
