@@ -22,6 +22,8 @@ class BucketedCorpus:
     def joined(self, spark: SparkSession) -> DataFrame:
         """One row for each version of an article, with its article and regulation. Equal buckets meet in one task; no
         table is exchanged. Columns of one name keep the version's, then the article's."""
+        # Buckets of the regulation hold all rows of any of its articles; this tells Spark to take them for a join by both.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         keys = ["regulation_id", "article_no"]
         versions, articles, regulations = (spark.table(t) for t in (self.versions, self.articles, self.regulations))
         articles = articles.drop(*[c for c in articles.columns if c in versions.columns and c not in keys])
