@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify", "planning", "evolve", "streams")
+FAMILIES = ("temporal", "retrieval", "text", "tax", "qa", "verify", "planning", "evolve", "streams", "rankings")
 
 
 def _collect(attribute: str) -> dict:
