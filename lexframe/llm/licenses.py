@@ -7,11 +7,13 @@ pairs, small-cased and without punctuation, hashed to `BINS` places (sparse n-gr
 regression gives each window a share for every licence family and for `none`. It is trained here on
 windows made by rule from the templates (each template between other words) and, as `none`, on
 windows of at most `FIT_ROWS` paragraphs of the corpus that hold none of the templates' telling words,
-at most one of each document, chosen by a hash of the id. Half of these are kept from the training to
-calibrate: the bar of `unknown` is the family share that the windows of only `FALSE_SHARE` of them
-exceed. A window above the bar is a prediction; it is confirmed as its family if the words of one of
-the family's templates stand in it nearly in full (`CONFIRM` of its word pairs), and else is `unknown`.
-A paragraph has each family once, and `unknown` if such a window shares no word with a confirmed one.
+one of each of at most `DRAWN` times as many documents, drawn by a hash of the id. Half of these are kept from the training to
+calibrate: the bar of `unknown` is the share of all families that the windows of only `FALSE_SHARE` of them
+exceed. A window above the bar is a prediction. It is confirmed by the templates that stand in it word for
+word: families that differ by one word (attribution, attribution and no derivatives) are told apart by
+nothing less. The longest such template decides, and another family only where it shares no word with it. A
+prediction that no template confirms is `unknown`, never a freer family. A paragraph has each
+family once, and `unknown` if such a window shares no word with a confirmed one.
 
 Defined cases: a null text has no paragraphs; without training paragraphs of the corpus the bar
 is `BAR`; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -29,30 +31,63 @@ from pyspark.sql import functions as F
 from lexframe.llm.base import register, table, whole
 from lexframe.llm.words import mixed, word_bounds, word_hashes
 
-BINS, FIT_ROWS, FALSE_SHARE, BAR, CONFIRM = 8192, 4_000, 0.0005, 0.5, 0.8
+BINS, FIT_ROWS, FALSE_SHARE, BAR = 8192, 4_000, 0.0005, 0.5
 PIECES, STEPS, RATE, RIDGE = 40, 200, 2.0, 1e-4
 WINDOW, STRIDE = 24, 8
-#: Windows scored at a time: 10 MB of weights at most.
+#: Documents drawn for each paragraph of the fit.
+DRAWN = 2
+#: Windows scored at a time: 15 MB of weights at most.
 BATCH = 4096
 NONE, UNKNOWN = "none", "unknown"
 #: Words that keep a paragraph from being an example of `none`.
 TELLING = r"(?i)licen[cs]e|copyright|warrant|redistribut|public domain|rights reserved"
 
-#: Short notices of the families.
+#: Short notices of the families, of at most WINDOW - STRIDE + 1 words, and their SPDX names.
 TEMPLATES = {
     "apache-2.0": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license"),
     "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    "gpl": ("licensed under the gnu general public license", "under the terms of the gnu general public license as published by the free software foundation"),
-    "lgpl": ("licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    "agpl": ("licensed under the gnu affero general public license",),
+    "isc": ("licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and distribute this software for any purpose"),
+    "gpl": (
+        "licensed under the gnu general public license",
+        "licensed under the gpl",
+        "under the terms of the gnu general public license",
+        "under the terms of the gnu general public license as published by the free software foundation",
+    ),
+    "lgpl": (
+        "licensed under the gnu lesser general public license",
+        "licensed under the lgpl",
+        "under the terms of the gnu lesser general public license",
+        "under the terms of the gnu lesser general public license as published by the free software foundation",
+    ),
+    "agpl": (
+        "licensed under the gnu affero general public license",
+        "licensed under the agpl",
+        "under the terms of the gnu affero general public license",
+        "under the terms of the gnu affero general public license as published by the free software foundation",
+    ),
     "bsd": ("licensed under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted"),
     "mpl-2.0": ("subject to the terms of the mozilla public license", "licensed under the mozilla public license"),
+    "epl": ("under the terms of the eclipse public license", "licensed under the eclipse public license"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense"),
     "cc-by": ("licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"),
     "cc-by-sa": ("licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"),
+    "cc-by-nd": ("licensed under cc by nd 4.0", "licensed under a creative commons attribution noderivatives 4.0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"),
+    "cc-by-nc-sa": ("licensed under cc by nc sa 4.0", "licensed under a creative commons attribution noncommercial sharealike 4.0 international license"),
+    "cc-by-nc-nd": ("licensed under cc by nc nd 4.0", "licensed under a creative commons attribution noncommercial noderivatives 4.0 international license"),
     "cc0": ("released under cc0 1.0", "dedicated to the public domain"),
     "proprietary": ("all rights reserved",),
 }
+SPDX = {
+    "apache-2.0": "Apache-2.0", "mit": "MIT", "isc": "ISC", "gpl": "GPL-2.0 GPL-3.0", "lgpl": "LGPL-2.1 LGPL-3.0", "agpl": "AGPL-3.0", "bsd": "BSD-2-Clause BSD-3-Clause",
+    "mpl-2.0": "MPL-2.0", "epl": "EPL-1.0 EPL-2.0", "unlicense": "Unlicense", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nd": "CC-BY-ND-4.0", "cc-by-nc": "CC-BY-NC-4.0",
+    "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0", "cc0": "CC0-1.0",
+}
+
+
+def notices(family: str) -> list[str]:
+    return [*TEMPLATES[family], *[f"SPDX-License-Identifier: {name}" for name in SPDX.get(family, "").split()]]
+
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != ".")
 _CLEAN = bytes(32 if c in _PUNCTUATION or c in b"\t\r" else c for c in range(256))
@@ -98,7 +133,8 @@ class Model:
     families: list[str]
     weights: np.ndarray
     bar: float
-    pairs: list[list[np.ndarray]]
+    #: (family, words) of each template, the longest first.
+    templates: list[tuple[int, np.ndarray]]
 
     def shares(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The share of each family in each window; `none` is the last."""
@@ -112,32 +148,34 @@ class Model:
             out[k : k + BATCH] = total / total.sum(1, keepdims=True)
         return out
 
-    def confirmed(self, family: int, words: np.ndarray) -> int | None:
-        """Where a template of the family starts among the words (its longest run of word pairs)."""
-        own = _pairs(words)
-        for template in self.pairs[family]:
-            if np.isin(template, own).mean() >= CONFIRM:
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], np.isin(own, template), [0]])))
-                return int(edges[::2][np.argmax(edges[1::2] - edges[::2])])
-        return None
+    def confirmed(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(family, start, end) of the templates that stand among the words, none sharing a word with a longer one."""
+        out: list[tuple[int, int, int]] = []
+        for family, template in self.templates:
+            n = len(template)
+            for at in np.flatnonzero(words[: max(0, len(words) - n + 1)] == template[0]):
+                if (words[at : at + n] == template).all() and all(at + n <= s or e <= at for _, s, e in out):
+                    out.append((family, int(at), int(at) + n))
+        return out
 
     def found(self, words: np.ndarray, lines: np.ndarray) -> tuple[int, list[dict]]:
         """The number of paragraphs, and line, family and score of what is predicted in them."""
         paragraph, starts, ends = windows(lines)
         if not len(words):
             return 0, []
-        shares = self.shares(words, starts, ends)[:, :-1]
+        shares = 1 - self.shares(words, starts, ends)[:, -1]
         known, rest, upto = {}, [], {}
-        for at in np.flatnonzero(shares.max(1) > self.bar):
-            best, score = int(shares[at].argmax()), float(shares[at].max())
-            start = self.confirmed(best, words[starts[at] : ends[at]])
-            if start is None:
+        for at in np.flatnonzero(shares > self.bar):
+            score = float(shares[at])
+            sure = self.confirmed(words[starts[at] : ends[at]])
+            if not sure:
                 rest.append((score, int(at)))
                 continue
             upto.setdefault(int(paragraph[at]), []).append((starts[at], ends[at]))
-            key = int(paragraph[at]), self.families[best]
-            if key not in known or known[key][1] < score:
-                known[key] = int(lines[starts[at] + start]), score
+            for family, start, _ in sure:
+                key = int(paragraph[at]), self.families[family]
+                if key not in known or known[key][1] < score:
+                    known[key] = int(lines[starts[at] + start]), score
         for score, at in sorted(rest, reverse=True):
             key = int(paragraph[at]), UNKNOWN
             if key not in known and not any(s < ends[at] and starts[at] < e for s, e in upto.get(key[0], ())):
@@ -157,7 +195,7 @@ def fit(plain: list[str]) -> Model:
     around = [w for text in kept for w in text.split()] or ["the", "of", "and", "in"]
     texts, labels = list(kept), [len(families)] * len(kept)
     for number, family in enumerate(families):
-        for template in TEMPLATES[family]:
+        for template in notices(family):
             room = max(0, WINDOW - len(template.split()))
             for _ in range(PIECES):
                 cut, size = sorted(draw.integers(0, room + 1, 2))
@@ -183,13 +221,13 @@ def fit(plain: list[str]) -> Model:
         p = np.exp(x @ weights)
         p /= p.sum(1, keepdims=True)
         weights -= RATE * 8 * (x.T @ ((p - y) * cost) + RIDGE * weights)
-    pairs = [[np.unique(_pairs(paragraph_words(t)[0])) for t in TEMPLATES[f]] for f in families]
-    model = Model(families, weights, BAR, pairs)
+    templates = [(number, paragraph_words(t)[0]) for number, f in enumerate(families) for t in notices(f)]
+    model = Model(families, weights, BAR, sorted(templates, key=lambda t: -len(t[1])))
     top = []
     for text in judged:
         words, _ = paragraph_words(text.replace("\n", " "))
         if len(words):
-            top.append(float(model.shares(words, *windows(np.zeros(len(words), np.int64))[1:])[:, :-1].max()))
+            top.append(float(1 - model.shares(words, *windows(np.zeros(len(words), np.int64))[1:])[:, -1].min()))
     if top:
         model.bar = float(np.clip(np.quantile(top, 1 - FALSE_SHARE), 0.2, 0.9))
     return model
@@ -199,11 +237,13 @@ def fit_licenses(docs: DataFrame, limit: int = FIT_ROWS) -> Model:
     parts = F.filter(F.split(whole("text"), r"\n[^\S\n]*\n"), lambda x: F.regexp_like(x, F.lit(r"\w")) & ~F.regexp_like(x, F.lit(TELLING)))
     # Of a long paragraph, a piece of 2,000 characters from anywhere in it.
     start = F.pmod(F.xxhash64("hash"), F.greatest(F.char_length("part") - 1999, F.lit(1))).cast("int") + 1
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("hash"), parts.alias("parts"))
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    # Each task hands in ids only; texts are read for the documents that are drawn, one row of each id.
+    drawn = docs.select("doc_id", "hash").distinct().orderBy("hash", "doc_id").limit(DRAWN * limit).select("doc_id")
+    docs = docs.join(drawn, "doc_id", "left_semi").groupBy("doc_id", "hash").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "hash", parts.alias("parts"))
     rows = rows.select("doc_id", "hash", F.get("parts", F.pmod("hash", F.greatest(F.size("parts"), F.lit(1))).cast("int")).alias("part")).where("part IS NOT NULL")
-    # Each task hands in ids only; texts are read for the chosen ones.
-    chosen = rows.select("doc_id", "hash").orderBy("hash", "doc_id").limit(limit).select("doc_id").distinct()
-    rows = rows.join(chosen, "doc_id", "left_semi").select("doc_id", "hash", F.substring("part", start, F.lit(2000)).alias("part"))
+    rows = rows.select("doc_id", "hash", F.substring("part", start, F.lit(2000)).alias("part"))
     rows = rows.orderBy("hash", "doc_id", "part").limit(limit)
     return fit([r["part"] for r in rows.collect()])
 
