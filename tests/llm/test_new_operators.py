@@ -231,6 +231,50 @@ def test_templates_below_half_of_a_hosts_pages(spark):
     assert found[200] == "Copy of a page"
 
 
+def test_words_headings_and_cells_are_no_templates(spark):
+    def recipe(i):
+        cells = "<table><tr><td>Yes</td><td>3</td></tr></table>"
+        return f"<body><div class=ads>Buy {i}</div><div class=box><div>Follow our site</div></div><div class=post><h2>Ingredients</h2><p>Mix {i} eggs, do <em>not</em> boil 3 minutes.</p>{cells}</div></body>"
+
+    rows = [(i, "http://a.example/x", recipe(i)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract(pages).collect():
+        assert r.text == f"Ingredients\n\nMix {r.page_id} eggs, do not boil 3 minutes.\n\nYes\n\n3"
+
+
+def test_names_of_layouts_do_not_take_the_article(spark):
+    story = "<h1>Title</h1><p>" + "The story goes on and on. " * 8 + "</p>"
+    text = "Title\n\n" + ("The story goes on and on. " * 8).strip()
+    bodies = [
+        f'<div class="content-sidebar-wrap"><main><article>{story}</article></main><div class=sidebar>links</div></div>',
+        f'<div class="layout has-sidebar"><article>{story}</article><aside>more</aside></div>',
+        f'<article class="post comments-open">{story}<div class="comments">so true</div></article>',
+        f'<div id="notice-board">{story}</div><div class="notice">We use cookies</div>',
+        f'<form id="aspnetForm"><main>{story}</main></form><form>Search <input></form>',
+        f"<main>{story}</main><aside><article>A teaser</article></aside>",
+        f'<main>{story}<div class="related"><article>A teaser</article></div></main>',
+        f'<article>{story}</article><article class="comment">I like it</article>',
+        f"<nav>Menu</nav><div>{story}</div><div><article>Next</article></div>",
+    ]
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(8)] == [text] * 8
+    assert found[8] == text + "\n\nNext"
+
+
+def test_template_counts_against_brute_force(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(120):
+        boxes = "".join(f"<div class=w{k}>Widget {k}</div>" for k in range(6) if draw.random() < (k + 1) / 24)
+        rows.append((i, f"http://h{i % 2}.example/{i}", f"<body>{boxes}<p>Page {i}</p></body>"))
+    counts = Counter((i % 2, k) for i, _, html in rows for k in range(6) if f"Widget {k}<" in html)
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows:
+        left = [f"Widget {k}" for k in range(6) if f"Widget {k}<" in html and counts[i % 2, k] < html_text.PAGES]
+        assert found[i] == "\n\n".join([*left, f"Page {i}"])
+
+
 # Licences
 
 
@@ -271,6 +315,30 @@ def test_license_notices_that_are_wrapped_or_inside_long_lines(spark):
     assert sum(found[i].n_licence for i, _ in rows) == 0 and all(found[i].n_paragraphs == 4 for i, _ in rows)
 
 
+def test_sister_licences_are_told_apart(spark):
+    draw = random.Random(26)
+    plain = [(i, "\n\n".join(" ".join(words(draw, 20)) for _ in range(4))) for i in range(200)]
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    marked = [
+        (cc.format(""), "cc-by"), (cc.format("-NoDerivatives"), "cc-by-nd"), (cc.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl"),
+        ("under the terms of the\n# GNU Lesser General Public License as published by", "lgpl"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+        ("SPDX-License-Identifier: MIT", "mit"), ("available under the terms of the Eclipse Public License 2.0", "epl"),
+        ("Licensed under the MIT license, or licensed under the Apache License, Version 2.0", "apache-2.0,mit"),
+    ]
+    rest = [cc.format("-Something"), "licensed under the GNU Sample General Public License", "redistribution in source and binary forms is permitted"]
+    rows = plain + [(300 + i, t) for i, (t, _) in enumerate(marked)] + [(400 + i, t) for i, t in enumerate(rest)]
+    docs = docs_of(spark, rows)
+    model = licenses.fit_licenses(docs)
+    found = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
+    assert [found[300 + i].families for i in range(len(marked))] == [f for _, f in marked]
+    assert [found[400 + i].families for i in range(len(rest))] == [""] * len(rest)
+    assert sum(found[400 + i].n_unknown for i in range(len(rest))) >= 2
+
+
 # Sharding, mixing, pipeline
 
 
@@ -282,6 +350,47 @@ def test_new_shard_takes_rows_only_into_itself(spark):
         assert slots == list(range(len(slots))) and len(slots) > 60
 
 
+def shards_of(spark, tree, n=6_000):
+    rows = spark.range(n).select(F.col("id").alias("doc_id"))
+    return {r.doc_id: r.shard for r in shards.with_shard(rows, "doc_id", tree).collect()}
+
+
+def test_a_heavier_rack_moves_rows_inside_its_subtrees_only(spark):
+    tree = shards.default_tree(16)
+    where = {s.number: (s.region, s.rack) for s in tree}
+    before = shards_of(spark, tree)
+    heavy = tuple(shards.Shard(s.region, s.rack, s.number, 3.0 if s.rack == "rack1" else 1.0) for s in tree)
+    after = shards_of(spark, heavy)
+    moved = [(before[i], after[i]) for i in before if before[i] != after[i]]
+    assert moved and sum(where[s][1] == "rack1" for s in after.values()) > 1.6 * sum(where[s][1] == "rack1" for s in before.values())
+    for old, new in moved:
+        if where[old][0] != where[new][0]:
+            assert where[new][0] == "region1"  # the region that grew
+        else:
+            assert where[new] == ("region1", "rack1") and where[old] != where[new]
+    # The layout counts: other racks give other places.
+    assert shards_of(spark, shards.default_tree(16, racks=2)) != before
+
+
+def test_draws_follow_weights(spark):
+    tree = (shards.Shard("a", "x", 0, 1.0), shards.Shard("a", "y", 1, 2.0), shards.Shard("b", "z", 2, 5.0), shards.Shard("b", "z", 3, 0.0))
+    counts = Counter(shards_of(spark, tree, 8_000).values())
+    assert all(abs(counts[s] - 8_000 * w / 8) < 250 for s, w in ((0, 1), (1, 2), (2, 5))) and 3 not in counts
+
+
+def test_slots_of_repeated_null_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(shards, "PIECE", 64)
+    rows = [(7, "same")] * 700 + [(None, None)] * 5 + [(i, "") for i in range(40)] + [(9, "ä" * 50_000)]
+    found = shards.place(docs_of(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert {(r.size, r.text_crc32) for r in found if r.doc_id is None} == {(1, 0)}
+    assert next(r.size for r in found if r.size > 1_000) == 100_001
+    for s in {r.shard for r in found}:
+        slots = sorted(r.slot for r in found if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert shards.place(docs_of(spark, [])).count() == 0
+
+
 def test_mix_comes_near_its_targets(spark):
     draw = random.Random(8)
     rows = [(i, " ".join(words(draw, 20)), "en", ["a", "b", "c", None][i % 4], 0, "", "") for i in range(1200)]
