@@ -22,19 +22,29 @@ ANY = "|".join(
 )
 def parse_header(df: DataFrame, text: str = "text", source_url: str = "source_url") -> DataFrame:
     """Number, issuer, title, hierarchy and dates of each text; unknown stays null and is
-    named in ``review_reasons``."""
+    named in ``review_reasons``. What several columns read is a column first, so that a text
+    is cut and searched once."""
     body = text_of(text)
-    out = df.withColumn("document_number", T.document_number(body))
+    first, joined = T.number_places(body)
+    out = df.withColumns(
+        {
+            "_first": first,
+            "_joined": joined,
+            "_lines": T.title_lines(body),
+            "_effective": F.regexp_extract(body, R.EFFECTIVE_DATE, 0),
+            "_expiry": F.regexp_extract(body, R.REPEAL_DATE, 0),
+        }
+    ).withColumn("document_number", T.number_at(F.col("_first"), F.col("_joined")))
     out = out.withColumns(
         {
             "issuer": T.issuer_of(F.col("document_number")),
             "issuer_inferred": T.issuer_inferred(F.col("document_number")),
-            "title": T.title_line(body, F.col("document_number")),
+            "title": T.title_among(F.col("_lines"), F.col("document_number")),
             "publish_date": T.publish_date(F.col("document_number")),
-            "effective_date": T.effective_date(body),
-            "expiry_date": T.repeal_date(body),
+            "effective_date": T.date_in(F.col("_effective"), R.EFFECTIVE_DATE),
+            "expiry_date": T.date_in(F.col("_expiry"), R.REPEAL_DATE),
         }
-    )
+    ).drop("_first", "_joined", "_lines", "_effective", "_expiry")
     found = T.hierarchy_by_title(F.col("title"), F.col("issuer"))
     return out.withColumns(
         {
@@ -46,22 +56,23 @@ def parse_header(df: DataFrame, text: str = "text", source_url: str = "source_ur
     ).withColumn("requires_review", F.size("review_reasons") > 0)
 
 
-def _segments(text: Column) -> Column:
-    """Raw blocks, each starting at its heading. Paragraphs and arabic items only count
-    as headings once an article or a Chinese-numbered item has been seen."""
-    clean = F.concat(F.lit("\n"), F.array_join(F.transform(T.lines_of(text), T.strip), "\n"))
-    halves = F.split(clean, rf"(?<=\n)(?={OPENS})", 2)
-    head = F.split(F.get(halves, F.lit(0)), rf"(?<=\n)(?={TOP})")
-    rest = F.split(F.get(halves, F.lit(1)), rf"(?<=\n)(?={ANY})")
-    return F.concat(
-        F.slice(head, 2, F.greatest(F.size(head), F.lit(1))),
-        F.coalesce(rest, F.array().cast("array<string>")),
+def _with_segments(rows: DataFrame, text: str) -> DataFrame:
+    """Adds the stripped lines and the raw blocks, each starting at its heading. Paragraphs and arabic items
+    only count as headings once an article or a Chinese-numbered item has been seen. Each step is a column,
+    as an expression that is named twice is worked out twice."""
+    clean = F.concat(F.lit("\n"), F.array_join("_lines", "\n"))
+    top = F.slice("_top", 2, F.greatest(F.size("_top"), F.lit(1)))
+    rest = F.split(F.get("_halves", F.lit(1)), rf"(?<=\n)(?={ANY})")
+    return (
+        rows.withColumn("_lines", F.transform(T.lines_of(F.col(text)), T.strip))
+        .withColumn("_halves", F.split(clean, rf"(?<=\n)(?={OPENS})", 2))
+        .withColumn("_top", F.split(F.get("_halves", F.lit(0)), rf"(?<=\n)(?={TOP})"))
+        .withColumn("_segments", F.concat(top, F.coalesce(rest, F.array().cast("array<string>"))))
     )
 
 
-def whole_text_body(text: Column, number: Column, title: Column) -> Column:
-    """The text without its number and title lines and without blank lines."""
-    lines = F.transform(T.lines_of(text), T.strip)
+def whole_text_body(lines: Column, number: Column, title: Column) -> Column:
+    """The stripped lines of a text without its number and title lines and without blank lines."""
     top = F.array_remove(F.slice(lines, 1, 3), T.strip(text_of(number)))
     top = F.array_remove(top, T.strip(text_of(title)))
     rest = F.slice(lines, 4, F.greatest(F.size(lines), F.lit(1)))
@@ -73,19 +84,16 @@ def split_blocks(
 ) -> DataFrame:
     """One row per chapter, section, article, paragraph and item, in text order. Texts
     without any structure but of useful length become one whole-text article."""
-    body = whole_text_body(F.col(text), F.col("document_number"), F.col("title"))
-    raw = parsed.select(
-        key, *carry, text, "document_number", "title", _segments(F.col(text)).alias("_segments")
-    ).select(
-        key,
-        *carry,
-        (F.size("_segments") == 0).alias("_whole"),
-        F.when(F.size("_segments") > 0, F.col("_segments"))
-        .when(F.length(body) >= R.MIN_WHOLE_TEXT_CHARS, F.array(body))
-        .alias("_segments"),
+    # The texts move to the partition of their key whole, before they are cut. The blocks are exploded from an
+    # expression: of a column, Spark would also filter by its size and cut every text once more for that.
+    raw = parsed.select(key, *carry, text, "document_number", "title").repartition(key)
+    body = whole_text_body(F.col("_lines"), F.col("document_number"), F.col("title"))
+    raw = _with_segments(raw, text).withColumn("_body", F.when(F.size("_segments") == 0, body))
+    blocks = F.when(F.size("_segments") > 0, F.col("_segments")).when(
+        F.length("_body") >= R.MIN_WHOLE_TEXT_CHARS, F.array("_body")
     )
     rows = raw.select(
-        key, *carry, "_whole", F.posexplode("_segments").alias("order_index", "_raw")
+        key, *carry, (F.size("_segments") == 0).alias("_whole"), F.posexplode(blocks).alias("order_index", "_raw")
     )
     rows = rows.withColumn(
         "article_no",
@@ -120,36 +128,33 @@ def split_blocks(
 
 
 def _number(rows: DataFrame, key: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy("order_index")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(key).orderBy("order_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def count(*kinds: str) -> Column:
-        return F.sum(F.col("_kind").isin(*kinds).cast("int")).over(running)
+    def last(kind: str, value: str, *closing: str) -> Column:
+        """(value, place) of the last row of the kind, unless a row of a closing kind came after it. All
+        kinds share one window, and with it one sort."""
+        own = F.when(F.col("_kind") == kind, F.struct(F.col(value).alias("no"), F.col("order_index").alias("at")))
+        none = F.struct(F.lit(None).cast("string").alias("no"), F.lit(None).cast("int").alias("at"))
+        return F.last(own.when(F.col("_kind").isin(*closing), none) if closing else own, ignorenulls=True).over(running)
 
     rows = rows.withColumns(
         {
-            "_in_chapter": count("chapter"),
-            "_in_section": count("chapter", "section"),
-            "_in_article": count("chapter", "section", "article"),
+            "_in_chapter": last("chapter", "_line"),
+            "_in_section": last("section", "_line", "chapter"),
+            "_in_article": last("article", "article_no", "chapter", "section"),
+            "_in_paragraph": last("paragraph", "article_no", "chapter", "section", "article"),
         }
     )
-
-    def last(kind: str, value: str, *scope: str) -> Column:
-        w = Window.partitionBy(key, *scope).orderBy("order_index").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return F.last(F.when(F.col("_kind") == kind, F.col(value)), ignorenulls=True).over(w)
-
     rows = rows.withColumns(
         {
-            "_chapter": last("chapter", "_line", "_in_chapter"),
-            "_chapter_at": last("chapter", "order_index", "_in_chapter"),
-            "_section": last("section", "_line", "_in_section"),
-            "_section_at": last("section", "order_index", "_in_section"),
-            "_article": last("article", "article_no", "_in_article"),
-            "_article_at": last("article", "order_index", "_in_article"),
-            "_paragraph": last("paragraph", "article_no", "_in_article"),
-            "_paragraph_at": last("paragraph", "order_index", "_in_article"),
+            "_chapter": F.col("_in_chapter.no"),
+            "_chapter_at": F.col("_in_chapter.at"),
+            "_section": F.col("_in_section.no"),
+            "_section_at": F.col("_in_section.at"),
+            "_article": F.col("_in_article.no"),
+            "_article_at": F.col("_in_article.at"),
+            "_paragraph": F.col("_in_paragraph.no"),
+            "_paragraph_at": F.col("_in_paragraph.at"),
         }
     )
     kind = F.col("_kind")
@@ -198,14 +203,15 @@ def _number(rows: DataFrame, key: str) -> DataFrame:
 def knowledge_units(blocks: DataFrame, key: str) -> DataFrame:
     """Citable blocks as answer units with a question hint and a usability score."""
     keep = F.col("level_code").isin("article", "paragraph", "item") & (F.length("content") > 0)
-    return blocks.filter(keep).withColumns(
+    rows = blocks.filter(keep).withColumn("_body", T.strip(F.col("content")))
+    return rows.withColumns(
         {
             "source_no": F.coalesce(F.when(F.col("full_no") != "", F.col("full_no")), "article_no"),
-            "question_hint": T.question_hint(F.col("content")),
-            "answer_summary": T.answer_summary(F.col("content")),
-            "usability": T.usability(F.col("content")),
+            "question_hint": T.question_hint(F.col("_body"), stripped=True),
+            "answer_summary": T.answer_summary(F.col("_body"), stripped=True),
+            "usability": T.usability(F.col("_body"), stripped=True),
         }
-    )
+    ).drop("_body")
 
 
 def article_tree(nodes: DataFrame, key: str, parent: str) -> DataFrame:

@@ -61,8 +61,9 @@ SELECT doc_id, concat_ws('|', CASE WHEN status = 'P' THEN 'no_document_number' E
 FROM ({NOTICE_SQL}) n WHERE status = 'P' OR priority = '1-URGENT'
 """)
 def pending_reasons(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir).filter("requires_review")
-    return parsed.select("doc_id", F.array_join("review_reasons", "|").alias("reasons"))
+    # Exploded, not filtered: a filter would be moved down to the texts and have them parsed a second time.
+    listed = F.when(F.col("requires_review"), F.array(F.array_join("review_reasons", "|")))
+    return _parsed(spark, sf_dir).select("doc_id", F.explode(listed).alias("reasons"))
 
 
 @query(f"""
