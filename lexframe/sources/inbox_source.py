@@ -1,7 +1,7 @@
 """The inbox as a Spark data source: ``spark.read.format("lex_inbox")`` and ``readStream``.
 
-Each text file of the folder is one partition and one row (name, size, modified, content); a
-file that is no UTF-8 has its content read as GB18030. A stream takes the files that were not
+Each text file of the folder is one row (name, size, modified, content); a file that is no UTF-8
+has its content read as GB18030. A few files are a partition each; of many, neighbours share one. A stream takes the files that were not
 there at its last offset, in the order of their names; an offset is the last name taken.
 """
 
@@ -18,18 +18,38 @@ SCHEMA = "name string, size long, modified timestamp, content string"
 #: What an inbox takes, and the encodings it tries.
 SUFFIXES = (".txt", ".md")
 ENCODINGS = ("utf-8", "gb18030")
+#: Up to so many files are a partition each, and no partition has more files or bytes than these.
+SINGLE_FILES = 64
+PACK_FILES = 2_000
+PACK_BYTES = 64 << 20
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str, name: str):
-        super().__init__((path, name))
+class Pack(InputPartition):
+    """The (path, name) of files that one task reads, one after the other."""
 
+    def __init__(self, files: list[tuple[str, str]]):
+        super().__init__(tuple(files))
 
-def _files(folder: str) -> list[tuple[str, str]]:
-    """(path, name) of the inbox files, sorted by name, in any file system that Arrow knows."""
+
+def _packs(files: list[tuple[str, str, int]]) -> list[Pack]:
+    """Files in their order, dealt to partitions of at most as many files and bytes as a task should read. Of up to
+    SINGLE_FILES files, and of larger ones, each has its own."""
+    most = min(PACK_FILES, -(-len(files) // SINGLE_FILES)) if files else 1
+    packs, pack, held = [], [], 0
+    for path, name, size in files:
+        if pack and (len(pack) >= most or held + size > PACK_BYTES):
+            packs.append(Pack(pack))
+            pack, held = [], 0
+        pack.append((path, name))
+        held += size
+    return packs + [Pack(pack)] if pack else packs
+
+
+def _files(folder: str) -> list[tuple[str, str, int]]:
+    """(path, name, size) of the inbox files, sorted by name, in any file system that Arrow knows."""
     system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    return sorted(((f.path, f.base_name) for f in found if f.is_file and f.base_name.endswith(SUFFIXES)), key=lambda f: f[1])
+    return sorted(((f.path, f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(SUFFIXES)), key=lambda f: f[1])
 
 
 def _decoded(raw: bytes) -> str:
@@ -41,22 +61,22 @@ def _decoded(raw: bytes) -> str:
     return raw.decode(ENCODINGS[0], "replace")
 
 
-def _rows(folder: str, part: OneFile) -> Iterator[tuple[str, int, datetime | None, str]]:
-    path, name = part.value
+def _rows(folder: str, part: Pack) -> Iterator[tuple[str, int, datetime | None, str]]:
     system = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
-    info = system.get_file_info(path)
-    with system.open_input_stream(path) as file:
-        yield name, info.size, info.mtime, _decoded(file.read())
+    for path, name in part.value:
+        info = system.get_file_info(path)
+        with system.open_input_stream(path) as file:
+            yield name, info.size, info.mtime, _decoded(file.read())
 
 
 class InboxReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder = folder
 
-    def partitions(self) -> list[OneFile]:
-        return [OneFile(path, name) for path, name in _files(self.folder)]
+    def partitions(self) -> list[Pack]:
+        return _packs(_files(self.folder))
 
-    def read(self, partition: OneFile) -> Iterator[tuple]:
+    def read(self, partition: Pack) -> Iterator[tuple]:
         # An empty folder has one partition without a file.
         return iter(()) if partition is None else _rows(self.folder, partition)
 
@@ -69,13 +89,13 @@ class InboxStream(DataSourceStreamReader):
         return {"after": ""}
 
     def latestOffset(self) -> dict:
-        names = [name for _, name in _files(self.folder)]
+        names = [name for _, name, _ in _files(self.folder)]
         return {"after": names[-1] if names else ""}
 
-    def partitions(self, start: dict, end: dict) -> list[OneFile]:
-        return [OneFile(path, name) for path, name in _files(self.folder) if start["after"] < name <= end["after"]]
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        return _packs([f for f in _files(self.folder) if start["after"] < f[1] <= end["after"]])
 
-    def read(self, partition: OneFile) -> Iterator[tuple]:
+    def read(self, partition: Pack) -> Iterator[tuple]:
         return _rows(self.folder, partition)
 
     def commit(self, end: dict) -> None:
