@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from lexframe.rules.retrieval import DENSE_DIM, SPARSE_SPACE, TOKEN_PATTERN
 
 
+#: Matrices of questions that a task scores one after the other against its block.
+CHUNKS_AT_ONCE = 16
+#: Texts that are embedded at a time, and the memory for the token vectors of the stand-in.
+EMBED_ROWS = 256
+KNOWN_BYTES = 64 << 20
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
@@ -46,15 +53,19 @@ def _token_vector(token: str, dim: int) -> np.ndarray:
 
 
 def hash_embedder(dim: int = DENSE_DIM) -> Callable[[pd.Series], list[np.ndarray]]:
-    """Deterministic stand-in for a model: the normalised sum of seeded token vectors."""
+    """Deterministic stand-in for a model: the normalised sum of seeded token vectors. The vectors of
+    tokens are kept from call to call, up to KNOWN_BYTES."""
+    known: dict[str, np.ndarray] = {}
+    most = max(1, KNOWN_BYTES // (8 * dim))
 
     def embed(term_counts: pd.Series) -> list[np.ndarray]:
-        known: dict[str, np.ndarray] = {}
         out = []
         for counts in term_counts:
             total = np.zeros(dim)
             for term, n in (dict(counts) if len(counts) else {"<empty>": 1}).items():
                 if term not in known:
+                    if len(known) >= most:
+                        known.clear()
                     known[term] = _token_vector(term, dim)
                 total += n * known[term]
             norm = np.linalg.norm(total)
@@ -70,13 +81,17 @@ def dense_vectors(
     """(key, vector) through an embedder that maps a batch of term counts to vectors."""
     run = embed or hash_embedder(dim)
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Only the tokens of a few texts at a time become Python objects.
         for part in parts:
-            counts = part["_tokens"].map(Counter)
-            yield pd.DataFrame({key: part[key], "vector": run(counts)})
+            for at in range(0, part.num_rows, EMBED_ROWS):
+                few = part.slice(at, EMBED_ROWS)
+                counts = pd.Series([Counter(t or ()) for t in few.column(1).to_pylist()], dtype=object)
+                vectors = pa.array([np.asarray(v, dtype="float32") for v in run(counts)], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([few.column(0), vectors], names=[key, "vector"])
 
     schema = f"{key} {dict(df.dtypes)[key]}, vector array<float>"
-    return df.select(key, tokens(F.col(text)).alias("_tokens")).mapInPandas(batches, schema)
+    return df.select(key, tokens(F.col(text)).alias("_tokens")).mapInArrow(batches, schema)
 
 
 def model_vectors(
@@ -226,14 +241,21 @@ def dense_topk(
     return _final(c.cogroup(q).applyInArrow(score, schema), q_key, d_key, k)
 
 
-def sparse_scorer(k: int, d_key: str, q_key: str, term: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Scores the postings of one block against those of one chunk of questions."""
+def sparse_scorer(
+    k: int, d_key: str, q_key: str, term: str, at_once: int = 64
+) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the postings of one block against those of one chunk of questions, `at_once` questions in a matrix."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         types = [right.schema.field(q_key).type, left.schema.field(d_key).type, pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in types], names=[q_key, d_key, "score"])
         q, d = right.to_pandas(), left.to_pandas()
+        number, ids = pd.factorize(q[q_key])
+        few = [q[(number >= at) & (number < at + at_once)] for at in range(0, len(ids), at_once)]
+        return pa.concat_tables([matrix(part, d, types) for part in few])
+
+    def matrix(q: pd.DataFrame, d: pd.DataFrame, types: list[pa.DataType]) -> pa.Table:
         vocabulary = pd.Index(q[term].unique())
         d_codes = vocabulary.get_indexer(d[term])
         d = d[d_codes >= 0]
@@ -274,10 +296,11 @@ def sparse_topk(
     """
 
     schema = _schema(corpus, questions, d_key, q_key)
-    score = sparse_scorer(k, d_key, q_key, term)
+    score = sparse_scorer(k, d_key, q_key, term, chunk_rows)
     asked = _with_gates(questions, QUESTION_GATES, q_key, term, "weight")
     wanted = _with_gates(corpus, CORPUS_GATES, d_key, term, "weight").join(
         asked.select(term).distinct(), term, "left_semi"
     )
-    c, q = _grid(wanted, asked, d_key, q_key, block_rows, chunk_rows)
+    # A block is sent once for every chunk of the grid, so that a chunk takes as many questions as a task can read.
+    c, q = _grid(wanted, asked, d_key, q_key, block_rows, chunk_rows * CHUNKS_AT_ONCE)
     return _final(c.cogroup(q).applyInArrow(score, schema), q_key, d_key, k)

@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.functions.common import let
+from lexframe.session import cut_lineage
+
 
 def _runs(items: Column, n: int) -> Column:
     """Arrays of n neighbours, by zipping the array with its own tails: linear in size."""
-    tails = [items] + [F.slice(items, i + 1, F.greatest(F.size(items), F.lit(1))) for i in range(1, n)]
+    tails = [F.slice(items, i + 1, F.greatest(F.size(items), F.lit(1))) for i in range(n)]
     return F.slice(F.arrays_zip(*tails), 1, F.greatest(F.size(items) - F.lit(n - 1), F.lit(0)))
 
 
@@ -23,13 +26,13 @@ def word_grams(text: Column, n: int = 3, interior: bool = False) -> Column:
     be cut when the text is a passage of a longer one."""
     words = F.split(text, r"\s+")
     if interior:
-        words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.array_distinct(F.transform(_runs(words, n), lambda run: F.xxhash64(run)))
+        words = let(words, lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    return F.array_distinct(F.transform(let(words, lambda w: _runs(w, n)), lambda run: F.xxhash64(run)))
 
 
 def char_grams(text: Column, n: int) -> Column:
     """Distinct substrings of length n."""
-    runs = _runs(F.split(text, ""), n)
+    runs = let(F.split(text, ""), lambda chars: _runs(chars, n))
     return F.array_distinct(
         F.transform(runs, lambda run: F.concat(*[run[str(i)] for i in range(n)]))
     )
@@ -51,8 +54,9 @@ def _rarest(needle_grams: DataFrame, text_grams: DataFrame, n_key: str) -> DataF
 def _pairs(texts, needles, text_grams, needle_grams, t_key, t_text, n_key, n_text, salt):
     """Join on (gram, salt): a gram that a large part of all texts has is spread over
     ``salt`` tasks. The texts travel as keys and meet their content in the last join."""
-    text_grams = text_grams.join(
-        needle_grams.select("_gram").distinct(), "_gram", "left_semi"
+    # Written once, as the texts would otherwise be cut into grams for the counts and again for the join.
+    text_grams = cut_lineage(
+        text_grams.join(needle_grams.select("_gram").distinct(), "_gram", "left_semi"), "grams"
     )
     anchors = _rarest(needle_grams, text_grams, n_key)
     asked = (
@@ -63,7 +67,8 @@ def _pairs(texts, needles, text_grams, needle_grams, t_key, t_text, n_key, n_tex
     offered = text_grams.withColumn(
         "_salt", F.pmod(F.xxhash64(t_key), F.lit(salt)).cast("int")
     )
-    candidates = offered.join(asked, ["_gram", "_salt"]).select(t_key, n_key, n_text)
+    # Written, so that the last join knows how few they are and leaves the texts where they lie.
+    candidates = cut_lineage(offered.join(asked, ["_gram", "_salt"]).select(t_key, n_key, n_text), "candidates")
     return candidates.join(texts.select(t_key, t_text), t_key).filter(
         F.col(t_text).contains(F.col(n_text))
     )
@@ -91,7 +96,9 @@ def passages_in_texts(
     by_words = _pairs(
         texts, long_needles, text_grams, needle_grams, t_key, t_text, n_key, n_text, salt
     )
-    by_chars = titles_in_texts(texts, short_needles, t_key, t_text, n_key, n_text, salt=salt)
+    # Without a short needle no text needs to be cut into characters.
+    any_short = short_needles.agg(F.count(F.lit(1)) > 0).scalar()
+    by_chars = titles_in_texts(texts.filter(any_short), short_needles, t_key, t_text, n_key, n_text, salt=salt)
     return by_words.select(t_key, n_key).unionByName(by_chars.select(t_key, n_key))
 
 
@@ -111,17 +118,15 @@ def titles_in_texts(
     such a needle exists.
     """
     short = F.length(n_text) < n
-    lengths = needles.filter(short & (F.length(n_text) > 0)).select(
-        F.length(n_text).alias("_len")
-    ).distinct()
+    lengths = needles.filter(short & (F.length(n_text) > 0)).agg(F.collect_set(F.length(n_text))).scalar()
     long_grams = texts.select(t_key, F.explode(char_grams(F.col(t_text), n)).alias("_gram"))
-    by_length = F.array(
-        *[F.struct(F.lit(i).alias("n"), char_grams(F.col(t_text), i).alias("g")) for i in range(1, n)]
-    )
-    short_grams = (
-        texts.select(t_key, F.explode(by_length).alias("_by"))
-        .join(lengths, F.col("_by.n") == F.col("_len"), "left_semi")
-        .select(t_key, F.explode("_by.g").alias("_gram"))
+    none = F.array().cast("array<string>")
+    of_length = [
+        F.when(F.array_contains("_lengths", i), char_grams(F.col(t_text), i)).otherwise(none) for i in range(1, n)
+    ]
+    # Grams of different lengths differ, so that none comes twice.
+    short_grams = texts.select(t_key, t_text, lengths.alias("_lengths")).select(
+        t_key, F.explode(F.concat(*of_length)).alias("_gram")
     )
     needle_grams = needles.filter(F.length(n_text) > 0).select(
         n_key,
