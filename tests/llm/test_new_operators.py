@@ -144,6 +144,22 @@ def test_repeated_rows_are_two_occurrences(spark):
     assert suffixes.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_query_removes_by_400_bytes_not_by_words(spark, tmp_path):
+    draw = random.Random(11)
+    passage = lambda n, letters="abcdef": "".join(draw.choice(letters) if k % 5 else " " for k in range(1, n + 1))
+    short, least, long, wide = passage(399), passage(400), passage(900), passage(320, "éèñö")
+    assert len(short.split()) > 50 and len(wide) < 400 < len(wide.encode())
+    shared = [short, least, long, wide] * 2
+    # The letters around a passage differ, so that it alone is shared.
+    texts = [f"{chr(65 + i)}{x}{chr(75 + i)}" for i, x in enumerate(shared)] + [passage(2000), None]
+    docs_of(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = suffixes.op9_suffix_dedup(spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_kept) for r in found}
+    want = true_removal([(t or "").encode() for t in texts], 400)
+    assert got == {i: (*counts, hashlib.sha256(kept).hexdigest(), len(kept)) for i, (*counts, kept) in enumerate(want)}
+    assert [got[i][1] for i in range(10)] == [0, 400, 900, len(wide.encode())] * 2 + [0, 0]
+
+
 def test_loser_tree_merges_front_coded_runs():
     draw = random.Random(9)
     strings = [bytes(draw.choice(b"ab") for _ in range(draw.randrange(12))) for _ in range(300)]
