@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
@@ -53,3 +54,14 @@ def test_rules_of_facts_search_plain_words_as_words(spark):
     assert (row.taxpayer_type, row.taxpayer_stated, row.period, row.period_scope, row.business_type) == ("个体工商户", False, "上季度", "quarter", "出口货物")
     assert {(e["field"], e["matched"]) for e in row.evidence} == {("taxpayer_type", "网店"), ("period", "上个季度"), ("business_type", "出口")}
     assert "regexp_extract(coalesce(text" in (plan := plan_of(facts)) and ", 网店, 0)" not in plan
+
+
+def test_an_answer_table_judges_texts_once(spark, tmp_path):
+    from lexframe.plans.qa import answer_table
+
+    orders = [(k, k % 3, "FOP"[k % 3], 100.0 * k, dt.datetime(1996, 1, 1 + k), "1-URGENT") for k in range(1, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, "MACHINERY", i) for i in range(3)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = answer_table(spark, str(tmp_path))
+    assert rows.count() == 8
+    assert "不超过" not in plan_of(rows)
