@@ -7,8 +7,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from lexframe.functions import text as T
 from lexframe.functions.facts import extract_facts, sentence_with
 from lexframe.operators import qa as Q
+from lexframe.operators import verify as Vf
 
 
 def plan_of(df) -> str:
@@ -56,6 +58,61 @@ def test_rules_of_facts_search_plain_words_as_words(spark):
     assert "regexp_extract(coalesce(text" in (plan := plan_of(facts)) and ", 网店, 0)" not in plan
 
 
+def test_white_space_is_taken_out_of_texts(spark):
+    texts = ["第一章 总\u3000则\t\n\x0b\x0c\r第\u00a0二条", "", " ", "无\u2003变", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.without_space(F.col("t"))).collect()]
+    assert got == ["第一章总则第二条", "", "", "无\u2003变", None]
+    assert "regexp_replace" not in plan_of(df.select(T.without_space(F.col("t"))))
+
+
+def _library(spark):
+    regs = spark.createDataFrame([(1, "甲1号", "甲"), (2, "乙2号", "乙"), (3, None, "丙")], "regulation_id int, document_number string, regulation_title string")
+    arts = spark.createDataFrame(
+        [(1, "第一章 总则 第一条", "小规模纳税人适用简易计税"), (1, "第一章 总则 第一条", "另一段文字"), (1, None, "无号"), (2, " ", "空号"), (2, "第 二 条", "内容")],
+        "regulation_id int, full_no string, content string",
+    )
+    arts = arts.unionByName(spark.range(300).select(F.lit(3).alias("regulation_id"), F.concat(F.lit("第一章 第"), "id", F.lit("条")).alias("full_no"), F.lit("条文").alias("content")))
+    numbers = ["第一条", "总则第一", "则 第", "第二条", "第一条第一", "第299条", "第一章第7", "第300条", "", None]
+    rows = [(10 * r + i, 1, f"{'甲乙'[r]}{r + 1}号" if r < 2 else "", "丙", n, "简易计税方法" if i % 2 else None) for r in range(3) for i, n in enumerate(numbers)]
+    rows += [(91, 1, "无9号", "甲", "第一条", None), (92, 1, "甲1号", "", "第一章 总则 第一条", "完全不同的话"), (93, 1, "乙2号", "", "第 二 条", "另一回事情"), (None, 1, "甲1号", "", "第九条", None)]
+    return regs, arts, spark.createDataFrame(rows, "answer_id int, citation_no int, document_number string, regulation_title string, full_no string, content string")
+
+
+def test_citations_are_checked_alike_against_what_was_prepared(spark):
+    regs, arts, cits = _library(spark)
+    plain = sorted(map(str, Vf.citation_issues(cits, regs, arts).collect()))
+    large = Vf.large_regulations(arts)
+    assert [r[0] for r in large.collect()] == [3]
+    numbers = Vf.article_numbers(arts, large)
+    assert {r.regulation_id for r in numbers.collect()} == {1, 2}
+    resolved = Vf.resolve_citations(cits, regs)
+    texts = Vf.quoted_articles(resolved, arts)
+    assert {(r.regulation_id, r.full_no) for r in texts.collect()} == {(1, "第一章 总则 第一条"), (2, "第 二 条")}
+    # Resolved citations need no regulations, and one line of numbers for each regulation holds what its articles hold.
+    assert sorted(map(str, Vf.citation_issues(resolved, None, arts, large, numbers, texts).collect())) == plain
+    assert sum("citation_article_not_found" in p for p in plain) == 19
+
+
+def test_a_repair_reads_citations_that_are_written_once(spark):
+    regs, arts, cits = _library(spark)
+    answers = cits.select("answer_id").distinct().filter("answer_id <> 7").withColumns({"text": F.lit("好"), "disclaimer": F.lit("税务机关")})
+    figures = spark.createDataFrame([(91, "vat", "应纳税额", "1.00")], "answer_id int, block string, title string, result string")
+    truth = figures.withColumn("result", F.lit("2.00").cast("decimal(18,2)"))
+    seen = []
+
+    def verify(a, c, f):
+        seen.append((plan_of(c), {r.answer_id for r in c.collect()}))
+        return Vf.all_issues(Vf.citation_issues(c, regs, arts), Vf.compliance_issues(a), Vf.calculation_issues(f, truth))
+
+    out = Vf.repair(answers, Vf.resolve_citations(cits, regs), figures, verify, lambda a, c, f: a)
+    # Citations of no answer are left alone, and stay among the citations at the end.
+    assert all("Join" not in plan and not ids & {7, None} for plan, ids in seen) and len(seen) > 1
+    assert {7, None} <= {r.answer_id for r in out["citations"].collect()}
+    got = {r.answer_id: (r.outcome, r.retries) for r in out["outcome"].collect() if r.answer_id in (0, 7, 91, 92)}
+    assert got == {0: ("passed", 0), 91: ("fixed", 2), 92: ("passed", 1)}
+
+
 def test_an_answer_table_judges_texts_once(spark, tmp_path):
     from lexframe.plans.qa import answer_table
 
